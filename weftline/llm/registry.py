@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, decontamination, mixing, pii, quality, toxicity, urls
+from weftline.llm import chat, decontamination, language_model, mixing, pii, quality, toxicity, urls
 
 # The production rule list of URL filters.
 URL_RULES = (
@@ -122,6 +122,14 @@ FROM e GROUP BY conv_id
 """
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    outside = language_model.held_out(F.col("doc_id"), 1)
+    model, counts = language_model.learn(docs.where(~outside).select("text"))
+    scored = language_model.score(docs, model, counts)
+    return scored.select("doc_id", outside.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -141,7 +149,7 @@ FROM h JOIN t USING (j) WHERE n_shared >= 0.8 * n_shingles
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op3_url_filters, op4_pii, op5_quality, op6_toxicity, op8_chat, op10_decontamination)}
+    return {f.__name__: f for f in (op1_mixing, op3_url_filters, op4_pii, op5_quality, op6_toxicity, op8_chat, op9_lm_scoring, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
