@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, decontamination, language_model, mixing, pii, quality, toxicity, urls
+from weftline.llm import chat, decontamination, language_model, licenses, mixing, near_duplicates, pii, quality, toxicity, urls
 
 # The production rule list of URL filters.
 URL_RULES = (
@@ -28,8 +28,15 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = licenses.train(licenses.sample_lines(docs, "doc_id", "text", licenses.SAMPLE_DOCS))
+    return licenses.scan(docs, model)
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    values = ", ".join(str(r) for r in URL_RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS r(host, path, action)")
     found = urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return found.select("page_id", "host", "path", "rule", "verdict")
 
@@ -97,6 +104,24 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id"), 0).alias("held_out"), "score", "predicted")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.join(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS k, doc_id,
+       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT k, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS g FROM w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS r(i) WHERE len(w) > 0),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+c AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.k < b.k GROUP BY a.k, b.k),
+e AS (SELECT a, b FROM c JOIN n AS x ON x.k = a JOIN n AS y ON y.k = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT k, k FROM w),
+r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
+m AS (SELECT r.a AS k, min(w.doc_id) AS component_id FROM r JOIN w ON w.k = r.b GROUP BY r.a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM w LEFT JOIN n USING (k) JOIN m USING (k)
+"""
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", extra), (-1, 1, "assistant", extra)], "conv_id long, turn long, role string, text string")
@@ -149,8 +174,8 @@ FROM h JOIN t USING (j) WHERE n_shared >= 0.8 * n_shingles
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op3_url_filters, op4_pii, op5_quality, op6_toxicity, op8_chat, op9_lm_scoring, op10_decontamination)}
+    return {f.__name__: f for f in (op1_mixing, op2_licenses, op3_url_filters, op4_pii, op5_quality, op6_toxicity, op7_jaccard_join, op8_chat, op9_lm_scoring, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": OP3_SQL, "op5_quality": OP5_SQL, "op8_chat": OP8_SQL, "op10_decontamination": OP10_SQL}
+    return {"op3_url_filters": OP3_SQL, "op5_quality": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op8_chat": OP8_SQL, "op10_decontamination": OP10_SQL}
