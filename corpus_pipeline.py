@@ -15,7 +15,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without the lines that fail."""
-    kept = quality.judge(docs).where("kept").withColumn("text", F.col("cleaned_text"))
+    kept = quality.clean(docs.select(COLUMNS))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

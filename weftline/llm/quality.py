@@ -122,3 +122,16 @@ def judge(df: DataFrame, text: str = "text") -> DataFrame:
     step = step.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     kept = ~F.col("base_failed") & (F.length("cleaned_text") * 100 >= F.col("_w_length") * MIN_KEPT_PERCENT)
     return step.withColumn("kept", kept).select(*others, *mine)
+
+
+def clean(df: DataFrame, text: str = "text") -> DataFrame:
+    """df without the documents that aren't kept, each text without its failing lines; all columns of df.
+
+    The verdict is taken on a packed row: as a condition on columns, the optimizer would push it down and evaluate
+    every rule twice.
+    """
+    judged = judge(df.select(*df.columns), text)
+    columns = [F.col("cleaned_text").alias(c) if c == text else F.col(c) for c in df.columns]
+    packed = F.array(F.struct(F.col("kept").alias("_kept"), *columns))
+    kept = judged.select(F.explode(F.filter(packed, lambda r: r["_kept"])).alias("r"))
+    return kept.select(*[F.col("r").getField(c).alias(c) for c in df.columns])
