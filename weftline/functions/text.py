@@ -85,7 +85,8 @@ def document_anchor(text: Column) -> Column:
     """
     question = F.regexp_replace(F.regexp_extract(text, "(?s)^(.*)\n问题[:：]", 1), "^阅读[^\n]*\n", "")
     premise = F.regexp_extract(text, "(?s)前提[:：](.*?)\n假设[:：]", 1)
-    before, last = F.regexp_extract(text, "(?s)^(.*)\n", 1), F.regexp_extract(text, "(?s)([^\n]*)$", 1)
+    last = F.substring_index(text, "\n", -1)
+    before = F.left(text, F.length(text) - F.length(last) - 1)
     asks = text.contains("\n") & last.rlike("[?？]") & (F.length(before) >= 160)
     article = (
         F.when(text.rlike("\n问题[:：]"), question)
