@@ -191,7 +191,9 @@ def learn(texts: DataFrame, own: int = OWN_UNITS, classes: int = CLASSES, broadc
     counts = staged(word_counts(texts), "counts")
     n, v = counts.agg(F.sum("c"), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "word").limit(broadcast_words).collect()
-    frequent = {bytes(r["word"]): r["c"] for r in top}
+    # the end is in every document and never among a block's words, so its count is always at hand
+    ends = counts.where(F.length("word") == 0).first()
+    frequent = {bytes(r["word"]): r["c"] for r in top} | ({END: ends["c"]} if ends else {})
     single = [END, *[w for w in frequent if w != END][: own - 1]]
     bigrams = unit_bigrams(texts, single)
     of = exchange(bigrams, 0, classes)
