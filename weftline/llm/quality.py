@@ -130,8 +130,7 @@ def clean(df: DataFrame, text: str = "text") -> DataFrame:
     The verdict is taken on a packed row: as a condition on columns, the optimizer would push it down and evaluate
     every rule twice.
     """
-    judged = judge(df.select(*df.columns), text)
-    columns = [F.col("cleaned_text").alias(c) if c == text else F.col(c) for c in df.columns]
-    packed = F.array(F.struct(F.col("kept").alias("_kept"), *columns))
-    kept = judged.select(F.explode(F.filter(packed, lambda r: r["_kept"])).alias("r"))
-    return kept.select(*[F.col("r").getField(c).alias(c) for c in df.columns])
+    judged = judge(df.select(F.col(text), F.struct(*df.columns).alias("_row")), text)
+    packed = F.array(F.struct("kept", "cleaned_text", "_row"))
+    r = judged.select(F.explode(F.filter(packed, lambda r: r["kept"])).alias("r")).select("r.cleaned_text", "r._row")
+    return r.select(*[F.col("cleaned_text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in df.columns])
