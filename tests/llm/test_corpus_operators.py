@@ -64,7 +64,7 @@ def enumerated(chain, e):
 
 def test_forward_backward_matches_enumeration():
     rng = np.random.default_rng(0)
-    chain = toxicity.Chain({}, np.zeros((3, 1)), transitions=rng.normal(size=(2, 2)))
+    chain = toxicity.Chain({}, np.zeros((3, 0)), transitions=rng.normal(size=(2, 2)))
     parts = [rng.normal(size=n) for n in (3, 0, 6, 1, 0)]
     lengths = np.array([len(p) for p in parts])
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
@@ -101,7 +101,7 @@ def test_toxicity_separates_held_out_texts(spark):
 @pytest.mark.parametrize("labels", [[], [0, 0], [1, 1]])
 def test_one_class_gives_its_share(labels):
     chain = toxicity.train(["x"] * len(labels), labels)
-    score = chain.scores(chain.documents([chain.indices("x y")])[2])[0]
+    score = chain.scores(chain.batch(["x y"])[2])[0]
     assert round(float(score)) == (1 if labels and labels[0] else 0)
 
 

@@ -1,10 +1,10 @@
 """Toxic spans by a linear-chain conditional random field; documents are scored from its marginals.
 
 Training, on a bounded sample of labelled documents (`sample_rows`, the first by a hash of their ids):
-  1. Tokens get labels from the documents' labels: a token of a toxic document is offending where its word is
-     significantly more frequent in toxic documents than in others.
-  2. A two-state chain learns emission weights of the word and its neighbours and transition weights, by gradient
-     ascent on the conditional likelihood, with forward-backward expectations.
+  1. Tokens get labels from the documents' labels: a token of a toxic document is offending where its word, or a
+     beginning of it (inflected and disguised forms share one), is significantly more frequent in toxic documents.
+  2. A two-state chain learns emission weights of the features (word and beginnings) of a token and its neighbours, and
+     transition weights, by gradient ascent on the conditional likelihood, with forward-backward expectations.
   3. A logistic calibration on the documents' own labels turns sums of marginals into a score.
 Scoring, over all documents: forward-backward marginals of every token; the document's score; offending offsets.
 
@@ -29,10 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents to learn from, at most.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 6000
 #: Documents of that sample whose chains are trained on, at most: toxic ones and as many others.
-CHAIN_DOCS = 800
-#: A word's excess in toxic documents must be this many standard errors, to label tokens.
+CHAIN_DOCS = 1000
+#: Lengths of the beginnings that are features.
+BEGINNINGS = (4, 5, 6, 7, 8)
+#: Words whose weights a task remembers from batch to batch.
+HELD_WORDS = 300_000
+#: A feature's excess in toxic documents must be this many standard errors, to label tokens.
 Z = 4.0
 #: A token is reported as offending from this marginal.
 SPAN_MARGINAL = 0.5
@@ -48,23 +52,51 @@ def tokens(text: str | None) -> list[str]:
     return [w.lower() for w in _TOKEN.findall(text or "")]
 
 
+def features_of(word: str) -> list[str]:
+    """The word, and its beginnings (marked, so that no word equals one)."""
+    return [word, *(f"{word[:k]}*" for k in BEGINNINGS if len(word) > k)]
+
+
+class Lexicon(dict):
+    """Number of each word met; weights has its three summed weights (as the token before, the token, the token after)."""
+
+    def __init__(self, features: dict[str, int], theta: np.ndarray):
+        super().__init__()
+        self.features, self.theta = features, theta
+        self.rows: list[np.ndarray] = []
+
+    def __missing__(self, word: str) -> int:
+        at = [i for f in features_of(word) if (i := self.features.get(f)) is not None]
+        self[word] = len(self.rows)
+        self.rows.append(self.theta[:, at].sum(1))
+        return self[word]
+
+    def weights(self) -> np.ndarray:
+        return np.array(self.rows).T if self.rows else np.zeros((3, 0))
+
+
 @dataclass
 class Chain:
-    """vocabulary: word to index (0 is any other word); weights: of the word before, the word, the word after, for the offending state."""
+    """features: a token's features that have weights; theta: their weights for the offending state, 3 x features."""
 
-    vocabulary: dict[str, int]
-    weights: np.ndarray  # 3 x (len(vocabulary) + 1)
+    features: dict[str, int]
+    theta: np.ndarray
     bias: float = 0.0
     transitions: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
-    calibration: np.ndarray = field(default_factory=lambda: np.zeros(4))
-
-    def indices(self, text: str | None) -> np.ndarray:
-        ws = tokens(text)
-        return np.fromiter(map(self.vocabulary.get, ws, [0] * len(ws)), np.int64, len(ws))
-
-    def emissions(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        e = self.bias + self.weights[1][ids]
-        before, after = self.weights[0][ids], self.weights[2][ids]
+    calibration: np.ndarray = field(default_factory=lambda: np.zeros(5))
+    lexicon: Lexicon | None = None
+
+    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """documents() of texts; the lexicon starts anew when it has grown too large."""
+        if self.lexicon is None or len(self.lexicon) > HELD_WORDS // 2:
+            self.lexicon = Lexicon(self.features, self.theta)
+        known = self.lexicon
+        ids = [np.fromiter(map(known.__getitem__, ws := tokens(t)), np.int64, len(ws)) for t in texts]
+        return self.documents(ids, known.weights())
+
+    def emissions(self, ids: np.ndarray, weights: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        e = self.bias + weights[1][ids]
+        before, after = weights[0][ids], weights[2][ids]
         first = np.zeros(len(ids), bool)
         first[starts[lengths > 0]] = True
         e[1:] += np.where(first[1:], 0.0, before[:-1])
@@ -92,28 +124,32 @@ class Chain:
             s[at] = (a[1, 0] + a[1, 1] * q) / (a[0, 0] + a[0, 1] * q)
         return r * s, r, s
 
-    def documents(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def documents(self, ids: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of a batch: marginal probabilities of all tokens, starts, and the documents' features."""
         lengths = np.array([len(x) for x in ids], np.int64)
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(ids) else np.zeros(0, np.int64)
+        starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
         flat = np.concatenate(ids) if len(ids) else np.zeros(0, np.int64)
-        odds = self.marginals(self.emissions(flat, starts, lengths), starts, lengths)[0]
+        odds = self.marginals(self.emissions(flat, weights, starts, lengths), starts, lengths)[0]
         p = odds / (1 + odds)
-        cum = np.concatenate(([0.0], np.cumsum(p)))
-        total = cum[starts + lengths] - cum[starts]
+
+        def total(x: np.ndarray) -> np.ndarray:
+            cum = np.concatenate(([0.0], np.cumsum(x)))
+            return cum[starts + lengths] - cum[starts]
+
         top = np.zeros(len(ids))
         full = lengths > 0
         if full.any():
             top[full] = np.maximum.reduceat(p, starts[full])
-        rate = total / np.maximum(lengths, 1) * 100
-        return p, starts, np.column_stack([np.ones(len(ids)), np.log1p(total), top, np.log1p(rate)])
+        rate = total(p) / np.maximum(lengths, 1) * 100
+        columns = [np.ones(len(ids)), np.log1p(total(p)), top, np.log1p(rate), np.log1p(total(p >= SPAN_MARGINAL))]
+        return p, starts, np.column_stack(columns)
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.calibration, -30, 30)))
 
 
 def offending_words(docs: list[set[str]], toxic: np.ndarray) -> set[str]:
-    """Words significantly more frequent in toxic documents (log odds over its standard error beyond Z)."""
+    """Features significantly more frequent in toxic documents (log odds over its standard error beyond Z)."""
     yes, no = Counter(), Counter()
     for ws, y in zip(docs, toxic, strict=True):
         (yes if y else no).update(ws)
@@ -131,24 +167,38 @@ def train(texts: list[str | None], labels: list[int], steps: int = 60, rate: flo
     toxic = np.array(labels, bool)
     share = float(toxic.mean()) if len(toxic) else 0.0
     if not 0 < share < 1:
-        chain = Chain({}, np.zeros((3, 1)), bias=-30.0)
+        chain = Chain({}, np.zeros((3, 0)), bias=-30.0)
         chain.calibration[0] = 30.0 if share else -30.0
         return chain
     words = [tokens(t) for t in texts]
-    bad = offending_words([set(w) for w in words], toxic)
+    seen = {w: features_of(w) for ws in words for w in ws}
+    sets = [{f for w in set(ws) for f in seen[w]} for ws in words]
+    bad = offending_words(sets, toxic)
     picked = [*np.flatnonzero(toxic)[: CHAIN_DOCS // 2], *np.flatnonzero(~toxic)[: CHAIN_DOCS // 2]]
-    counts = Counter(w for i in picked for w in words[i])
-    kept = [w for w, c in counts.most_common() if c >= 3 or w in bad]
-    chain = Chain({w: i + 1 for i, w in enumerate(kept)}, np.zeros((3, len(kept) + 1)), bias=-4.0)
-    ids = [chain.indices(" ".join(words[i])) for i in picked]
-    gold = np.concatenate([np.array([toxic[i] and w in bad for w in words[i]], float) for i in picked])
-    lengths = np.array([len(x) for x in ids], np.int64)
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    counts = Counter(f for i in picked for f in sets[i])
+    kept = [f for f, c in counts.most_common() if c >= 5 or f in bad]
+    features = {f: i for i, f in enumerate(kept)}
+    chain = Chain(features, np.zeros((3, len(kept))), bias=-4.0)
+    # words of the picked documents, and which features they have
+    of = {w: i for i, w in enumerate(dict.fromkeys(w for i in picked for w in words[i]))}
+    links = np.array([(i, features[f]) for w, i in of.items() for f in seen[w] if f in features], np.int64).reshape(-1, 2)
+    ids = [np.fromiter(map(of.__getitem__, words[i]), np.int64, len(words[i])) for i in picked]
+    suspect = np.array([any(f in bad for f in seen[w]) for w in of], bool)
     flat = np.concatenate(ids)
+    lengths = np.array([len(x) for x in ids], np.int64)
+    gold = (suspect[flat] & np.repeat(toxic[picked], lengths)).astype(float)
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
     inner = np.ones(len(flat), bool)  # tokens with one before them
     inner[starts[lengths > 0]] = False
     pairs = np.flatnonzero(inner)
-    size, scale = chain.weights.shape[1], max(1.0, gold.sum())
+    size, scale = len(of), max(1.0, gold.sum())
+
+    def summed(theta: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(links[:, 0], t[links[:, 1]], size) for t in theta])
+
+    def spread(by_word: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(links[:, 1], g[links[:, 0]], len(kept)) for g in by_word])
+
     moments: dict[str, list] = {}
 
     def step(name: str, value: np.ndarray, gradient: np.ndarray, k: int) -> np.ndarray:
@@ -158,10 +208,10 @@ def train(texts: list[str | None], labels: list[int], steps: int = 60, rate: flo
         return value + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
 
     for k in range(1, steps + 1):
-        e = chain.emissions(flat, starts, lengths)
+        e = chain.emissions(flat, summed(chain.theta), starts, lengths)
         odds, r, s = chain.marginals(e, starts, lengths)
         off = gold - odds / (1 + odds)
-        grads = np.zeros_like(chain.weights)
+        grads = np.zeros((3, size))
         grads[1] = np.bincount(flat, off, size)
         grads[0] = np.bincount(flat[pairs - 1], off[pairs], size)
         grads[2] = np.bincount(flat[pairs], off[pairs - 1], size)
@@ -170,10 +220,11 @@ def train(texts: list[str | None], labels: list[int], steps: int = 60, rate: flo
         joint = np.stack([a[0, 0] * np.ones(len(pairs)), a[0, 1] * here, a[1, 0] * before, a[1, 1] * before * here])
         expected = (joint / joint.sum(0)).sum(1).reshape(2, 2)
         seen = np.bincount((2 * gold[pairs - 1] + gold[pairs]).astype(int), minlength=4).reshape(2, 2)
-        chain.weights = step("w", chain.weights, grads / scale - decay * chain.weights, k)
+        chain.theta = step("w", chain.theta, spread(grads) / scale - decay * chain.theta, k)
         chain.bias = float(step("b", np.array([chain.bias]), np.array([off.sum() / scale]), k)[0])
         chain.transitions = np.clip(step("t", chain.transitions, (seen - expected) / scale - decay * chain.transitions, k), -8, 8)
-    chain.calibration = _calibrated(chain.documents([chain.indices(t) for t in texts])[2], toxic.astype(float))
+    chain.calibration = _calibrated(chain.batch(texts)[2], toxic.astype(float))
+    chain.lexicon = None
     return chain
 
 
@@ -209,7 +260,7 @@ def score(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "te
         model: Chain = shared.value
         for b in batches:
             texts = b.column(1).to_pylist()
-            p, starts, features = model.documents([model.indices(t) for t in texts])
+            p, starts, features = model.batch(texts)
             scores = model.scores(features)
             spans: list[list[dict]] = [[] for _ in texts]
             hot = np.flatnonzero(p >= SPAN_MARGINAL)
