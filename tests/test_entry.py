@@ -1,5 +1,10 @@
 """The driver's contract."""
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import __spark_entry__ as entry
 from weftline.plans import catalog
 
@@ -12,3 +17,16 @@ def test_every_query_of_sql_is_registered():
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.columns == ["conv_id", "prefix_index", "n_messages", "prefix_sha256"] and df.count() > 0
+
+
+def test_import_without_the_optional_modules(tmp_path):
+    root = Path(entry.__file__).parent
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    shutil.copytree(root / "weftline", tmp_path / "weftline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; assert e.queries() and not any(k.startswith('op') or k == 'pipeline' for k in e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, check=True)
+    (tmp_path / "weftline" / "llm" / "__pycache__").mkdir(parents=True)
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, check=True)
+    # a broken import inside is not swallowed
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module")
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True).returncode

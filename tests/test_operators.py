@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline.operators import decisions as D
 from weftline.operators import graph as G
 from weftline.operators import metrics as M
+from weftline.operators import planning as P
 from weftline.operators import records as R
 from weftline.operators import selection as S
 from weftline.operators import similarity as J
@@ -191,3 +192,43 @@ def test_metrics(spark):
     assert M.temperature_fit(df, [0.5, 1.0, 2.0]).first().t in (0.5, 1.0, 2.0)
     p = spark.createDataFrame([([0.25] * 4,), ([1.0],)], "p array<double>")
     assert [round(r.c, 9) for r in p.select(M.entropy_concentration(F.col("p")).alias("c")).collect()] == [0, 1]
+
+
+def test_recipes_fill_their_quotas():
+    plan = P.recipes(100, 3)
+    counts = {b: sum(r["bucket"] == b for r in plan) for b in (*P.BUCKETS, "noul")}
+    assert counts == {"2-8": 36, "9-32": 20, "33-96": 12, "97-254": 8, "255": 4, "noul": 20}
+    assert any(r["k"] == 255 for r in plan[:6]) and plan == P.recipes(100, 3) != P.recipes(100, 4)
+    assert all(P.BUCKETS[r["bucket"]][0] <= r["k"] <= P.BUCKETS[r["bucket"]][1] for r in plan if r["type"] == "choice")
+    jobs = P.assign(plan[:4], [("a", False), ("b", True), ("c", False)])
+    assert jobs == [{"slot": 0, "attempt": 0, "prefix": "b"}, {"slot": 1, "attempt": 0, "prefix": "a"}, {"slot": 2, "attempt": 0, "prefix": "c"}]
+
+
+def test_runs_resume_under_one_fingerprint():
+    one = P.fingerprint(config={"b": 1, "a": 2}, code="x")
+    assert one == P.fingerprint(code="x", config={"a": 2, "b": 1})
+    P.resume_gate(None, one)
+    with pytest.raises(ValueError):
+        P.resume_gate("other", one)
+
+
+def test_codes_are_single_tokens_and_a_bijection(spark):
+    # a tokenizer of characters, to which AA to AZ are one token each
+    def encode(text):
+        parts = F.regexp_extract_all(text, F.lit("(A[A-Z]|.)"), 1)
+        return F.transform(parts, lambda x: F.ascii(x) * 1000 + F.ascii(F.substring(x, 2, 1)))
+
+    got = P.single_token(P.letter_codes(spark), encode, ("x ", "y: ")).collect()
+    assert len(got) == 26 and len({r.token_id for r in got}) == 26 and all(r.code[0] == "A" for r in got)
+    names = spark.createDataFrame([("q", str(i)) for i in range(255)], "question string, candidate string")
+    task = P.tasks(names, P.codebook(P.letter_codes(spark), 255, 1)).collect()
+    assert len({r.code for r in task}) == len(task) == 255
+
+
+def test_predict_plugs_in_a_scorer(spark):
+    rows = [("a", "choice", "s", "i", "[]", ["x", "yy"]), ("b", "score", "s", "i", "[]", ["0", "1", "2"]), ("c", "noul", "s", "i", "[]", ["false", "true"])]
+    df = spark.createDataFrame(rows, "question string, kind string, state string, instructions string, criteria string, candidates array<string>")
+    got = {r.question: r for r in D.predict(df, lambda paths: F.transform(paths, lambda p: F.length(p).cast("double"))).collect()}
+    assert got["a"].choice.choice == "yy" and got["b"].score == pytest.approx(1) and got["c"].p_true < 0.5
+    m = spark.createDataFrame([({"b": "2", "a": "1"},)], "m map<string, string>").select(D.reversed_order(F.col("m")).alias("r")).first().r
+    assert m.order == ["b", "a"]

@@ -114,3 +114,25 @@ def paths(state: Column, kind: Column, instructions: Column, criteria: Column, c
     question = F.to_json(F.struct(instructions.alias("instructions"), kind.alias("type")))
     shared = F.concat(F.lit("STATE "), safe(state), F.lit("QUESTION "), safe(question), F.when(kind == "choice", safe(criteria)).otherwise(""))
     return F.transform(candidates, lambda c: F.concat(shared, F.lit("CANDIDATE "), safe(c), F.lit("DECISION")))
+
+
+def reversed_order(criteria: Column) -> Column:
+    """Entries of a map in reverse canonical order, with their names listed: what a second reader is shown."""
+    entries = F.array_sort(F.map_entries(criteria))
+    return F.struct(F.reverse(entries).alias("entries"), F.reverse(F.transform(entries, lambda e: e["key"])).alias("order"))
+
+
+def predict(requests: DataFrame, scorer, temperature: float = 1.0) -> DataFrame:
+    """question, kind, choice, score, p_true of a table (question, kind, state, instructions, criteria, candidates).
+
+    scorer: a column function of an array of path texts giving an array of logits (a vectorised UDF over a model).
+    """
+    text = paths(F.col("state"), F.col("kind"), F.col("instructions"), F.col("criteria"), F.col("candidates"))
+    p = requests.withColumn("p", softmax(scorer(text), temperature))
+    return p.select(
+        "question",
+        "kind",
+        F.when(F.col("kind") == "choice", choice(F.col("p"), F.col("candidates"))).alias("choice"),
+        F.when(F.col("kind") == "score", score(F.col("p"))).alias("score"),
+        F.when(F.col("kind") == "noul", noul(F.col("p"))).alias("p_true"),
+    )

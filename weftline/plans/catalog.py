@@ -7,8 +7,8 @@ logits, events for jobs, attempts and results.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,9 +19,12 @@ from weftline.operators import conversations as C
 from weftline.operators import decisions as D
 from weftline.operators import graph as G
 from weftline.operators import metrics as M
+from weftline.operators import planning as P
 from weftline.operators import records as R
 from weftline.operators import selection as S
 from weftline.operators import similarity as J
+from weftline.plans.staging import shared_dir
+from weftline.sources import jsonl
 
 BUDGET = 2_000
 SEED = 20260920
@@ -215,12 +218,12 @@ def f13_shingles(spark, sf_dir):
 
 
 @query(
-    "WITH w AS (SELECT doc_id, source, list_distinct(string_split(lower(left(text, 200)), ' ')) AS s FROM documents WHERE text IS NOT NULL), "
+    "WITH w AS (SELECT doc_id, source, list_distinct(string_split(lower(text), ' ')) AS s FROM documents WHERE text IS NOT NULL), "
     "p AS (SELECT a.doc_id AS l, b.doc_id AS r, a.s AS x, b.s AS y FROM w a JOIN w b ON a.source = b.source AND b.doc_id = a.doc_id + 1 OR (a.source = b.source AND b.doc_id = a.doc_id + 20)) "
     "SELECT l, r, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 9) AS jaccard FROM p"
 )
 def f14_jaccard(spark, sf_dir):
-    w = _documents(spark, sf_dir).select("doc_id", "source", F.array_distinct(F.split(F.lower(F.left("text", F.lit(200))), " ")).alias("s"))
+    w = _documents(spark, sf_dir).select("doc_id", "source", F.array_distinct(F.split(F.lower("text"), " ")).alias("s"))
     steps = w.withColumn("r", F.explode(F.array(F.col("doc_id") + 1, F.col("doc_id") + 20)))
     other = w.select(F.col("doc_id").alias("r"), F.col("source").alias("source"), F.col("s").alias("y"))
     return steps.join(other, ["r", "source"]).select(F.col("doc_id").alias("l"), "r", F.round(T.jaccard(F.col("s"), F.col("y")), 9).alias("jaccard"))
@@ -239,12 +242,17 @@ def f17_scrub(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.serialize(T.scrub(F.col("props"), ["mobile"])).alias("scrubbed"))
 
 
-@query("SELECT b.item_id, bool_or(contains(d.text, b.text)) AS grounded FROM benchmark b CROSS JOIN (SELECT text FROM documents WHERE text IS NOT NULL AND doc_id < 100) d GROUP BY b.item_id")
+@query(
+    "WITH m AS (SELECT conv_id, list(text) AS ts, string_agg(text, chr(10) ORDER BY turn) AS whole, max(length(text)) AS longest FROM conversations GROUP BY conv_id), "
+    "q AS (SELECT conv_id, ts, [whole[5:40], whole[longest - 10:longest + 30]] AS qs FROM m) "
+    "SELECT conv_id, len(list_filter(qs, lambda e: len(list_filter(ts, lambda t: contains(t, e))) = 0)) = 0 AS grounded FROM q"
+)
 def f16_evidence(spark, sf_dir):
-    """Each item as evidence in the state made of the first hundred documents (the state is the query's parameter)."""
-    state = _documents(spark, sf_dir).where("doc_id < 100").agg(F.collect_list("text").alias("texts"))
-    items = table(spark, sf_dir, "benchmark").withColumn("k", F.lit(1)).join(F.broadcast(state.withColumn("k", F.lit(1))), "k")
-    return items.select("item_id", R.grounded(F.array("text"), F.col("texts")).alias("grounded"))
+    """Two quotes of each conversation's joined text: grounded where each lies within one message."""
+    m = C.assemble(_conversations(spark, sf_dir)).select("conv_id", F.expr("transform(messages, x -> x.content)").alias("ts"))
+    whole = m.withColumn("w", F.array_join("ts", "\n")).withColumn("n", F.array_max(F.transform("ts", F.length)))
+    quotes = F.array(F.substring("w", 5, 36), F.substring(F.col("w"), F.col("n") - 10, F.lit(41)))
+    return whole.select("conv_id", R.grounded(quotes, F.col("ts")).alias("grounded"))
 
 
 # --- joins and groups ---
@@ -270,13 +278,18 @@ def j2_lsh_join(spark, sf_dir):
 
 
 def _keyed(spark, sf_dir):
-    """Each document under the digests of its text and of its first 120 characters, normalised."""
-    n = T.normalize_plain(F.col("text"))
-    keys = F.array(T.digest(n), T.digest(F.concat(F.lit("first:"), F.left(n, F.lit(120)))))
-    return _documents(spark, sf_dir).select(F.col("doc_id").alias("node"), F.explode(keys).alias("key"))
+    """Each document under the digest of its text and, if it has 80 characters, that of its first line, normalised."""
+    n, first = T.normalize_plain(F.col("text")), T.normalize_plain(F.substring_index("text", "\n", 1))
+    keys = F.array(T.digest(n), F.when(F.length(first) >= T.ANCHOR_CHARS, T.digest(F.concat(F.lit("first:"), first))))
+    return _documents(spark, sf_dir).select(F.col("doc_id").alias("node"), F.explode(F.array_compact(keys)).alias("key"))
 
 
-KEYED = DOCS + ", k AS (SELECT doc_id, sha256(norm) AS key FROM docs UNION ALL SELECT doc_id, sha256('first:' || left(norm, 120)) FROM docs)"
+KEYED = (
+    DOCS
+    + ", k AS (SELECT doc_id, sha256(norm) AS key FROM docs UNION ALL SELECT doc_id, sha256('first:' || f) FROM (SELECT doc_id, "
+    + NORM.format("split_part(text, chr(10), 1)")
+    + " AS f FROM docs) WHERE length(f) >= 80)"
+)
 ROOTS = KEYED + """, o AS (SELECT key, min(doc_id) AS o FROM k GROUP BY key), e AS (SELECT DISTINCT doc_id AS a, o AS b FROM k JOIN o USING (key)),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
 g AS (SELECT docs.*, x.root, sha256(text) AS raw_sha256, coalesce(quality = 0, false) AS explored
@@ -575,9 +588,8 @@ def w12_slot_batch(spark, sf_dir):
 
 @query()
 def w9_recipes(spark, sf_dir):
-    """Also W7: the planned question slots."""
-    quota = S.largest_remainder(80, {f"choice_{b}": Fraction(w) for b, w in (("2-8", 9), ("9-32", 5), ("33-96", 3), ("97-254", 2), ("255", 1))})
-    return spark.createDataFrame([(k, n) for k, n in {**quota, "noul": 20}.items()], "recipe string, n long")
+    """The planned question slots."""
+    return spark.createDataFrame([(r["slot"], r["type"], r["bucket"], r["k"]) for r in P.recipes(100, SEED)], "slot int, type string, bucket string, k int")
 
 
 # --- set operations ---
@@ -779,6 +791,69 @@ def x8_slices(spark, sf_dir):
     return c.select(F.coalesce("lang", F.lit("all")).alias("lang"), F.coalesce("long", F.lit("all")).alias("long"), "n", "toxic")
 
 
+# --- files ---
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents")
+def sc2_jsonl(spark, sf_dir):
+    """Also SC7, SK1, SK8 and SK10: canonical lines written to the shared folder, read back with a schema."""
+    path = f"{shared_dir(spark)}/weftline-lines-{uuid.uuid4().hex}"
+    jsonl.write_lines(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), path)
+    return jsonl.read(spark, path, "doc_id long, lang string, n_chars long, _corrupt string").select("doc_id", "lang", "n_chars")
+
+
+@query("SELECT count(*) AS lines, count(*) AS found, count(DISTINCT item_id) AS digests FROM benchmark")
+def sc1_located_scan(spark, sf_dir):
+    """Also SC3 and SC4: lines with provenance, each found again by its file and digest."""
+    path = f"{shared_dir(spark)}/weftline-lines-{uuid.uuid4().hex}"
+    jsonl.write_lines(table(spark, sf_dir, "benchmark"), path)
+    scan = jsonl.located(spark, f"{path}/*.json")
+    anchors = jsonl.hashed(spark, path).select(F.col("raw_sha256"))
+    found = jsonl.lookup(scan, anchors, "raw_sha256")
+    both = found.agg(F.count("*").alias("found"), F.countDistinct("raw_sha256").alias("digests"), F.lit(1).alias("k"))
+    return scan.agg(F.count("*").alias("lines"), F.lit(1).alias("k")).join(both, "k").select("lines", "found", "digests")
+
+
+@query("SELECT lang AS split, count(*) AS n, min(doc_id) AS low, max(doc_id) AS high FROM documents GROUP BY lang")
+def sk4_split_export(spark, sf_dir):
+    """Also SC5, SC6 and SK5: a folder for each split; the manifest of its files agrees with them."""
+    path = f"{shared_dir(spark)}/weftline-splits-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("split"))
+    jsonl.write_splits(rows, path)
+    back = spark.read.schema("id long, split string").json(path)
+    return back.groupBy("split").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+
+
+# --- plans of question runs ---
+
+
+@query("SELECT vec_id AS job, sha256(to_json({'body': 'b' || label, 'job': vec_id, 'role': 'generate'})::VARCHAR) AS request FROM embeddings")
+def m15_request_ids(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    rid = P.request_id(F.col("vec_id"), F.lit("generate"), F.concat(F.lit("b"), F.col("label").cast("string")))
+    return e.select(F.col("vec_id").alias("job"), rid.alias("request"))
+
+
+@query(
+    f"WITH c AS (SELECT chr(65 + (i // 26)::INT) || chr(65 + (i % 26)::INT) AS code FROM range(676) r(i)), b AS (SELECT code, row_number() OVER (ORDER BY sha256('{SEED}:' || code), code) - 1 AS position FROM c ORDER BY position LIMIT 255), "
+    "q AS (SELECT DISTINCT label AS question, vec_id::VARCHAR AS candidate FROM embeddings), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY candidate) - 1 AS place, ('0x' || left(sha256(question::VARCHAR), 8))::BIGINT % 255 AS turn FROM q) "
+    "SELECT question, candidate, code FROM r JOIN b ON b.position = (turn + place) % 255"
+)
+def m11_task_codes(spark, sf_dir):
+    """Also A9, M12 (all pairs of letters) and W15."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("question"), F.col("vec_id").cast("string").alias("candidate"))
+    return P.tasks(e, P.codebook(P.letter_codes(spark), 255, SEED))
+
+
+@query()
+def w7_jobs(spark, sf_dir):
+    """Also P7 and P8: prefixes of conversations assigned to slots."""
+    p = C.prefix_bounds(_conversations(spark, sf_dir), BUDGET).orderBy("conv_id").limit(300).collect()
+    jobs = P.assign(P.recipes(100, SEED), [(str(r["conv_id"]), r["last_index"] > 0) for r in p])
+    return spark.createDataFrame([(j["slot"], j["attempt"], j["prefix"]) for j in jobs] or [(0, 0, "")], "slot int, attempt int, prefix string")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
