@@ -12,9 +12,13 @@ Work after the signatures:
   1. Equal sets are one node from the start (copies cost one row each, whatever their number).
   2. A first round verifies, for each node, the most central node of a part of its buckets: groups of near copies
      collapse around their hub, by one verified link for each node instead of all pairs.
-  3. The second round goes through every bucket that still holds nodes of different components, and tests all pairs of
+  3. Further rounds go through every bucket that still holds nodes of different components, and test all pairs of
      different components by an exact bound (sizes, then the parity of hashed elements, which can't exceed the Hamming
-     distance); pairs that pass are verified on the sets. After it, no link between different components exists.
+     distance); pairs that pass are verified on the sets. A bucket with many more such pairs than nodes first proposes
+     each node's nearest partner only and stays open for the next round, when those links have merged most of it; where
+     a round finds no link, the open buckets propose all that is left. After the last round, every pair of nodes in
+     different components has failed the bound or the verification: no link is lost, and none of a dense group's
+     inner pairs is written out.
 
 Buckets stream in sorted order; a bucket of the second round is held with its sketches (a bit for a quarter of an
 element), not its sets.
@@ -38,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.components import components
+from weftline.operators.graph import components
 from weftline.plans.staging import discard, staged
 
 WIDTH, PERCENT = 4, 85
@@ -50,6 +54,8 @@ GUIDE = 8
 HELD_WORDS = 400_000
 #: Positions of the bitmap that tells which documents' sets are needed (4 MB, at any number of documents).
 BITMAP = 1 << 25
+#: Pairs for each node from which a bucket proposes nearest partners first.
+DENSE = 4
 #: Pairs compared at a time in a bucket.
 CHUNK = 1 << 20
 
@@ -280,42 +286,69 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "_a", "_b").mapInArrow(_verified(percent), "a bigint, b bigint")
 
 
-def _crossing(percent: int) -> Callable:
-    """Of each bucket (rows sorted by sig): pairs of nodes of different components that size and sketch don't exclude."""
-
-    def pairs(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        rows = sorted({r[1]: r for r in rows}.values(), key=lambda r: r[3])
-        nodes = np.array([r[1] for r in rows], np.int64)
-        _, comps = np.unique(np.array([r[2] for r in rows], np.int64), return_inverse=True)
-        sizes = np.array([r[3] for r in rows], np.int64)
-        words = [np.frombuffer(r[4], U) for r in rows]
-        length = min(map(len, words))
-        table = np.stack([folded(w, length) for w in words])
-        step = max(1, CHUNK // max(1, len(rows) * length // 8))
-        for i in range(0, len(rows), step):
-            a = np.arange(i, min(i + step, len(rows)))
+def _crossing(percent: int, whole: bool) -> Callable:
+    """Of each bucket (rows sorted by sig): pairs of nodes of different components that size and sketch don't exclude.
+
+    A bucket with more than DENSE such pairs for each node gives each node's nearest partner and, as a row with sig, its
+    own number to be looked at again; with whole, all pairs.
+    """
+
+    def admissible(nodes, comps, sizes, table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of pairs, in order of the first, and their least distances."""
+        step = max(1, CHUNK // max(1, len(nodes) * table.shape[1] // 8))
+        for i in range(0, len(nodes), step):
+            a = np.arange(i, min(i + step, len(nodes)))
+            # sizes are sorted: partners of a size stand together, before or after
+            first = int(np.searchsorted(sizes, sizes[a[0]] * percent // 100, side="left"))
             last = int(np.searchsorted(sizes, sizes[a[-1]] * 100 // percent, side="right"))
-            b = np.arange(i, last)
-            most = (100 - percent) * (sizes[a][:, None] + sizes[b]) // (100 + percent)
-            ok = (comps[a][:, None] != comps[b]) & (a[:, None] < b)
-            for x in range(len(a)):
-                at = np.flatnonzero(ok[x])
-                if len(at):
-                    apart = np.bitwise_count(table[a[x]] ^ table[b[at]]).sum(1, dtype=np.int64)
-                    ok[x, at[apart > most[x, at]]] = False
-            x, y = np.nonzero(ok)
-            yield nodes[a[x]], nodes[b[y]]
+            b = np.arange(first, last)
+            x, y = np.nonzero(comps[a][:, None] != comps[b])
+            x, y = a[x], b[y]
+            apart = np.bitwise_count(table[x] ^ table[y]).sum(1, dtype=np.int64)
+            ok = apart <= (100 - percent) * (sizes[x] + sizes[y]) // (100 + percent)
+            yield x[ok], y[ok], apart[ok]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        for _, bucket in groupby(rows, key=lambda r: r[0]):
-            for a, b in pairs(list(bucket)):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        for sig, bucket in groupby(rows, key=lambda r: r[0]):
+            own = sorted({r[1]: r for r in bucket}.values(), key=lambda r: r[3])
+            nodes = np.array([r[1] for r in own], np.int64)
+            comps = np.unique(np.array([r[2] for r in own], np.int64), return_inverse=True)[1]
+            sizes = np.array([r[3] for r in own], np.int64)
+            words = [np.frombuffer(r[4], U) for r in own]
+            length = min(map(len, words))
+            table = np.stack([folded(w, length) for w in words])
+            found, nearest, n = [], [], 0
+            for x, y, apart in admissible(nodes, comps, sizes, table):
+                n += int((x < y).sum())
+                if whole:
+                    yield _pair_batch(nodes[x[x < y]], nodes[y[x < y]])
+                    continue
+                if n <= DENSE * len(nodes):
+                    found.append((x[x < y], y[x < y]))
+                order = np.lexsort((apart, x))
+                x, y = x[order], y[order]
+                lead = np.ones(len(x), bool)
+                lead[1:] = x[1:] != x[:-1]
+                nearest.append((x[lead], y[lead]))
+            if n > DENSE * len(nodes):
+                found = nearest
+                yield _pair_batch(np.zeros(0, np.int64), np.zeros(0, np.int64), sig)
+            for x, y in found if not whole else ():
+                yield _pair_batch(nodes[x], nodes[y])
 
     return run
 
 
+def _pair_batch(a: np.ndarray, b: np.ndarray, sig: int | None = None) -> pa.RecordBatch:
+    """Pairs, smaller node first, or the row of an open bucket."""
+    if sig is not None:
+        columns = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([sig], pa.int64())]
+    else:
+        columns = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["a", "b", "sig"])
+
+
 # --- the operator ---
 
 
@@ -353,15 +386,24 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     edges = staged(verify(stars, sets, percent), "links")
     roots = staged(components(edges), "roots")
 
-    # second round: everything that the first one left apart
-    part = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_ = part.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
-    part = part.join(mixed_, "sig").join(sets.select("node", "n", "sketch"), "node")
-    rows_ = part.select("sig", "node", "root", "n", "sketch").repartition("sig").sortWithinPartitions("sig")
-    pairs = rows_.mapInArrow(_crossing(percent), "a bigint, b bigint").distinct()
-    more = staged(verify(pairs, sets, percent), "links")
-    if not more.isEmpty():
-        roots = staged(components(edges.unionByName(more)), "roots")
+    # further rounds: everything that the first one left apart
+    open_, whole = None, False
+    while True:
+        part = shared if open_ is None else shared.join(open_, "sig")
+        part = part.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = part.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
+        full = part.join(apart, "sig").join(sets.select("node", "n", "sketch"), "node")
+        full = full.select("sig", "node", "root", "n", "sketch").repartition("sig").sortWithinPartitions("sig")
+        proposed = staged(full.mapInArrow(_crossing(percent, whole), "a bigint, b bigint, sig bigint"), "proposed")
+        more = staged(verify(proposed.where("a IS NOT NULL").select("a", "b").distinct(), sets, percent), "links")
+        found = not more.isEmpty()
+        if found:
+            edges = edges.unionByName(more)
+            roots = staged(components(edges), "roots")
+        open_ = proposed.where("sig IS NOT NULL").select("sig")
+        if whole or open_.isEmpty():
+            break
+        whole = not found
     for done in (shared, sets, reps):
         discard(spark, done)
     return member, roots
