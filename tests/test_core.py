@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions import masking, strict_json
+from weftline.functions import masking, requests, strict_json
 from weftline.functions import text as T
 from weftline.operators import conversations as C
 
@@ -144,3 +144,35 @@ def test_budgets_and_seeds(spark):
     assert [r.b for r in df.collect()] == [4096, 20400, 24000]
     assert one(spark, T.seed_of(T.digest(F.col("t"))), t="") == 0xE3B0C442
     assert one(spark, T.serialize(F.col("t")), t='{"a":"<|x|>"}') == '{"a":"\\u003c|x|>"}'
+
+
+CHOICE = {"type": "choice", "instructions": "pick", "criteria": {"a": "x", "b": None}}
+
+
+@pytest.mark.parametrize(
+    ("request_", "reason"),
+    [
+        ({"state": "s", "questions": {"q": CHOICE}}, None),
+        ({"state": {"a": 1}, "questions": {"q": {"type": "noul", "instructions": "yes?"}}, "model": "m"}, None),
+        ({"state": "s", "questions": {"q": CHOICE}, "x": 1}, "unknown_fields"),
+        ({"questions": {"q": CHOICE}}, "missing_fields"),
+        ({"state": 3, "questions": {"q": CHOICE}}, "invalid_state"),
+        ({"state": "s", "questions": {}}, "question_count"),
+        ({"state": "s", "questions": {f"q{i}": CHOICE for i in range(65)}}, "question_count"),
+        ({"state": "s", "questions": {"q": {**CHOICE, "criteria": {"a": "x"}}}}, "choice_size"),
+        ({"state": "s", "questions": {"q": {**CHOICE, "criteria": {str(i): "x" for i in range(256)}}}}, "choice_size"),
+        ({"state": "s", "questions": {"q": {**CHOICE, "criteria": {"a": "", "b": "x"}}}}, "invalid_description"),
+        ({"state": "s", "questions": {"q": {"type": "score", "instructions": "i", "criteria": ["x"] * 11}}}, "score_size"),
+        ({"state": "s", "questions": {"q": {"type": "noul", "instructions": "i", "criteria": {}}}}, "invalid_question_fields"),
+        ({"state": "s", "questions": {"q": {"type": "rank", "instructions": "i"}}}, "unsupported_type"),
+        ({"state": "s", "questions": {"q": CHOICE}, "model": ""}, "invalid_model"),
+    ],
+)
+def test_requests(request_, reason):
+    assert requests.request_error(request_) == reason
+
+
+def test_requests_as_text(spark):
+    rows = [(json.dumps({"state": "s", "questions": {"q": CHOICE}}),), ("{} {}",), (None,)]
+    got = spark.createDataFrame(rows, "t string").select(requests.validate_requests("t").alias("r")).collect()
+    assert [r.r for r in got] == [None, "invalid_json", "invalid_json"]

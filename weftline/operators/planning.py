@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from weftline.functions.strict_json import canonical
 from weftline.operators.selection import largest_remainder
 
-# Sizes of choice questions by bucket, with their share, and the share of yes/no questions.
-BUCKETS = {"2-8": (2, 8, 36), "9-32": (9, 32, 20), "33-96": (33, 96, 12), "97-254": (97, 254, 8), "255": (255, 255, 4)}
-NOUL_SHARE = 20
+# Sizes of choice questions by bucket with their weight, the share of choice questions in a hundred, how many
+# have 255 candidates at least, and the other dimensions of a recipe.
+BUCKETS = {"2-8": (2, 8, 45), "9-32": (9, 32, 25), "33-64": (33, 64, 15), "65-128": (65, 128, 10), "129-255": (129, 255, 5)}
+CHOICE_PERCENT = 80
+FULL_SIZE_MIN = 2
+LANGUAGES = ("zh", "en", "ja")
+FORMS = ("direct", "constraint", "scenario_action", "negative_or_exception", "history_dependent")
+OPTION_STYLES = ("short", "phrase", "sentence", "structured")
 RETRY_LIMIT = 3
 
 
@@ -24,33 +29,42 @@ def _number(low: int, high: int, *key: object) -> int:
 
 
 def recipes(slots: int, seed: int) -> list[dict]:
-    """slot, type, bucket, k: exact quotas, buckets interleaved round-robin, the first 255-way question within the first six slots."""
+    """slot, type, bucket, k, language, form, option_style: exact quotas, buckets interleaved round-robin.
+
+    The bucket of the largest questions leads, and its first FULL_SIZE_MIN have 255 candidates; so one is among the
+    first six slots. What quotas don't fix is drawn from digests of the seed and the slot.
+    """
     ends = sorted((low, high) for low, high, _ in BUCKETS.values())
     if ends[0][0] != 2 or ends[-1][1] != 255 or any(a[1] + 1 != b[0] for a, b in zip(ends, ends[1:], strict=False)):
         raise ValueError("buckets must tile 2 to 255")
-    shares = {b: Fraction(s) for b, (_, _, s) in BUCKETS.items()} | {"noul": Fraction(NOUL_SHARE)}
-    left = largest_remainder(slots, shares)
-    order = ["255", *(b for b in left if b != "255")]
+    choices = largest_remainder(slots, {"choice": Fraction(CHOICE_PERCENT), "noul": Fraction(100 - CHOICE_PERCENT)})
+    left = largest_remainder(choices["choice"], {b: Fraction(w) for b, (_, _, w) in BUCKETS.items()}) | {"noul": choices["noul"]}
+    order = sorted(left, key=lambda b: -BUCKETS[b][1] if b in BUCKETS else 0)
     out: list[dict] = []
+    full = 0
     while any(left.values()):
         for b in order:
-            if left[b]:
-                left[b] -= 1
-                slot = len(out)
-                k = 2 if b == "noul" else _number(BUCKETS[b][0], BUCKETS[b][1], seed, slot, b)
-                out.append({"slot": slot, "type": "noul" if b == "noul" else "choice", "bucket": b, "k": k})
+            if not left[b]:
+                continue
+            left[b] -= 1
+            slot = len(out)
+            k = 2 if b == "noul" else _number(BUCKETS[b][0], BUCKETS[b][1], seed, slot, b)
+            if b == order[0] and full < FULL_SIZE_MIN:
+                k, full = 255, full + 1
+            drawn = {n: v[_number(0, len(v) - 1, seed, slot, n)] for n, v in (("language", LANGUAGES), ("form", FORMS), ("option_style", OPTION_STYLES))}
+            out.append({"slot": slot, "type": "noul" if b == "noul" else "choice", "bucket": b, "k": k, **drawn})
     return out
 
 
 def assign(plan: list[dict], prefixes: list[tuple[str, bool]], attempts: int = RETRY_LIMIT) -> list[dict]:
     """slot, attempt, prefix: attempts of all slots in turn, each taking the first prefix left that suits it.
 
-    prefixes: (id, has history), in order; a slot divisible by three needs history. Bounded by slots times attempts.
+    prefixes: (id, has history), in order; a history-dependent recipe needs history. Bounded by slots times attempts.
     """
     left, out = dict(prefixes), []
     for attempt in range(attempts):
         for r in plan:
-            need = r["slot"] % 3 == 0
+            need = r["form"] == "history_dependent"
             prefix = next((p for p, history in left.items() if history or not need), None)
             if prefix is not None:
                 del left[prefix]

@@ -7,20 +7,46 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 
-# What a review checks, and the reasons that are reported by name.
-CHECKS = ("answerable", "clear", "distinct", "exhaustive", "grounded", "neutral", "relevant")
+# What a review checks, and the reasons of rejection that are reported by name.
+CHECKS = ("grounded", "task_faithful", "scope_clear", "distinct_options", "no_answer_hints", "no_padding", "language_matches")
 REASONS = (
+    "one_question_required_no_labels",
+    "invalid_instructions_or_type",
     "candidate_count_mismatch",
     "duplicate_or_empty_candidate",
+    "option_too_long",
+    "state_too_long",
+    "review_evidence_not_in_state",
+    "inconsistent_review",
+    "invalid_review_fields",
+    "invalid_review_checks",
+    "invalid_review_decision",
+    "invalid_review_evidence",
     "invalid_json",
-    "invalid_json_fence",
     "json_object_required",
-    "one_question_required_no_labels",
-    "review_evidence_not_in_state",
-    "semantic_review_rejected",
-    "truncated_response",
+    "duplicate_json_key",
+    "nonfinite_json",
+    "invalid_json_fence",
+    "incomplete_response",
+    "teacher_model_mismatch",
+    "transport_attempts_exhausted",
+    "http_error",
+    "service_halted",
+    "invalid_response",
 )
 OTHER_REASON = "format_or_budget_validation"
+# The same for the collection of traces.
+TRACE_REASONS = (
+    "teacher_context_budget",
+    "thinking_incomplete",
+    "empty_thinking",
+    "answer_prefix_roundtrip_failed",
+    "actual_prefix_code_mismatch",
+    "missing_answer_scores",
+    "incomplete_vocabulary_scores",
+    "nonfinite_vocabulary_scores",
+)
+OTHER_TRACE_REASON = "collection_validation_failed"
 RETRYABLE = (408, 429)
 
 
@@ -51,7 +77,7 @@ def review_errors(decision: Column, checks: Column, issues: Column, evidence: Co
     all_true = F.forall(F.map_values(checks), lambda v: v)
     blank = lambda xs: F.exists(xs, lambda x: F.coalesce(F.trim(x), F.lit("")) == "")
     return (
-        F.when(F.array_sort(F.map_keys(checks)) != F.array(*map(F.lit, CHECKS)), "invalid_review_checks")
+        F.when(F.array_sort(F.map_keys(checks)) != F.array(*map(F.lit, sorted(CHECKS))), "invalid_review_checks")
         .when(~decision.isin("accept", "reject"), "invalid_review_decision")
         .when(blank(issues) | blank(evidence), "invalid_review_evidence")
         .when((F.size(evidence) == 0) | ~grounded(evidence, texts), "review_evidence_not_in_state")

@@ -460,10 +460,10 @@ def ag8_split_family(spark, sf_dir):
     return named.groupBy("family").pivot("split", ["good", "poor", "unmarked"]).count().na.fill(0)
 
 
-@query("WITH x AS (SELECT CASE event_type WHEN 'click' THEN 'invalid_json' WHEN 'view' THEN 'truncated_response' WHEN 'purchase' THEN NULL ELSE 'something_else' END AS r FROM events) SELECT coalesce(CASE WHEN r IS NULL OR r IN ('invalid_json', 'truncated_response') THEN r ELSE 'format_or_budget_validation' END, 'accepted') AS reason, count(*) AS n FROM x GROUP BY 1")
+@query("WITH x AS (SELECT CASE event_type WHEN 'click' THEN 'invalid_json' WHEN 'view' THEN 'state_too_long' WHEN 'purchase' THEN NULL ELSE 'something_else' END AS r FROM events) SELECT coalesce(CASE WHEN r IS NULL OR r IN ('invalid_json', 'state_too_long') THEN r ELSE 'format_or_budget_validation' END, 'accepted') AS reason, count(*) AS n FROM x GROUP BY 1")
 def ag10_reasons(spark, sf_dir):
     """Also P17: unknown reasons collapse."""
-    reason = F.when(F.col("event_type") == "click", "invalid_json").when(F.col("event_type") == "view", "truncated_response").when(F.col("event_type") != "purchase", "something_else")
+    reason = F.when(F.col("event_type") == "click", "invalid_json").when(F.col("event_type") == "view", "state_too_long").when(F.col("event_type") != "purchase", "something_else")
     return table(spark, sf_dir, "events").groupBy(F.coalesce(R.public_reason(reason), F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -589,7 +589,8 @@ def w12_slot_batch(spark, sf_dir):
 @query()
 def w9_recipes(spark, sf_dir):
     """The planned question slots."""
-    return spark.createDataFrame([(r["slot"], r["type"], r["bucket"], r["k"]) for r in P.recipes(100, SEED)], "slot int, type string, bucket string, k int")
+    schema = "slot int, type string, bucket string, k int, language string, form string, option_style string"
+    return spark.createDataFrame([tuple(r.values()) for r in P.recipes(100, SEED)], schema)
 
 
 # --- set operations ---
