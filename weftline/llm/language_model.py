@@ -186,11 +186,28 @@ class Model:
     frequent: dict[bytes, int]  # counts of the most frequent words
 
 
+def most_frequent(counts: DataFrame, n: int) -> list:
+    """The rows of all words over some count, at most n of them, by count and word.
+
+    The bound comes from a histogram of counts (16 bins to a doubling), so no task sends n rows of its own.
+    """
+    bin_ = F.floor(F.log2("c") * 16)
+    bins = counts.groupBy(bin_.alias("bin")).agg(F.count("*").alias("words")).collect()
+    least, room = None, n
+    for r in sorted(bins, key=lambda r: -r["bin"]):
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["bin"]
+    rows = counts.where(bin_ >= least).collect() if least is not None else []
+    return sorted(rows, key=lambda r: (-r["c"], bytes(r["word"])))
+
+
 def learn(texts: DataFrame, own: int = OWN_UNITS, classes: int = CLASSES, broadcast_words: int = BROADCAST_WORDS) -> tuple[Model, DataFrame]:
     """The model, and the staged table of counts (word, c), from the column text."""
     counts = staged(word_counts(texts), "counts")
     n, v = counts.agg(F.sum("c"), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(broadcast_words).collect()
+    top = most_frequent(counts, broadcast_words)
     # the end is in every document and never among a block's words, so its count is always at hand
     ends = counts.where(F.length("word") == 0).first()
     frequent = {bytes(r["word"]): r["c"] for r in top} | ({END: ends["c"]} if ends else {})

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.sampling import first_by_hash
+
 #: Labelled documents to learn from, at most.
 SAMPLE_ROWS = 6000
 #: Documents of that sample whose chains are trained on, at most: toxic ones and as many others.
@@ -243,7 +245,7 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE
     """Up to `rows` labelled texts with learn true for their doc_id, in a fixed order."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(learn)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id").limit(rows)
+    known = first_by_hash(known, rows, F.xxhash64("doc_id", F.lit(6)), "doc_id")
     found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     one = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     return [(r["text"], int(r["toxic"] > 0)) for r in sorted(one.collect(), key=lambda r: r["doc_id"])]
