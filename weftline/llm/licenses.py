@@ -5,8 +5,8 @@ driver from the templates below (spans of them, with words dropped and surrounde
 sample of documents (`sample_docs`, the first by a hash of their ids) as the unknown class; its temperature and the
 unknown class's offset are calibrated on a held-out third of these examples.
 
-Scan: built-in expressions only. A document is looked at closely only where it has a word of the model; a line without
-any feature would get the offset of the unknown class alone, so nothing is lost. Scores are sums over the features
+Scan: built-in expressions only. A document is looked at closely only where it has a word without which no family can
+reach the unknown class, so nothing is lost. Scores are sums over the features
 present, probabilities their softmax. A prediction is confirmed where enough of the line's bigrams, from its first to its
 last feature, stand in a template of that family. No shuffle; a document with many license lines gives many rows.
 
@@ -17,6 +17,7 @@ empty table gives an empty result. Words are runs of letters, digits, dots and h
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -24,6 +25,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.sampling import first_by_hash
+
 # Notices of each family, as they stand in files and on pages.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "apache-2.0": (
@@ -97,6 +100,7 @@ NEARBY = (
 )
 UNKNOWN = "unknown"
 SAMPLE_DOCS = 400
+LINES_PER_DOC = 10
 #: Share of the line's stretch of bigrams that a template must have.
 CONFIRM = 0.6
 _WORD = r"[\p{L}\p{N}][\p{L}\p{N}.-]*"
@@ -117,6 +121,7 @@ class Model:
     features: list[str]
     weights: np.ndarray  # features x families, already divided by the temperature
     offsets: np.ndarray  # of families, relative to the unknown class, likewise
+    common: dict[str, int]  # lines of the sample that have a word
 
     def probabilities(self, line: str) -> np.ndarray:
         """Of the families, then of the unknown class; what the scan computes, in plain Python."""
@@ -185,13 +190,15 @@ def train(lines: list[str], l1: float = 2e-4, steps: int = 400, seed: int = 7) -
             best = min(best, (loss, t, float(b)))
     _, t, b = best
     kept = np.flatnonzero(np.abs(w[:-1, :-1]).max(1) > 0)
-    return Model(families, [features[i] for i in kept], w[kept, :-1] / t, w[-1, :-1] / t - b)
+    common = Counter(x for line in lines for x in set(tokens(line)))
+    return Model(families, [features[i] for i in kept], w[kept, :-1] / t, w[-1, :-1] / t - b, common)
 
 
 def sample_lines(docs: DataFrame, doc_id: str, text: str, n: int) -> list[str]:
+    """Lines of the sample of n documents, the first LINES_PER_DOC * n of them."""
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
-    rows = rows.orderBy(F.xxhash64("i", F.lit(2)), "i", "t").limit(n).collect()
-    return [line for r in rows for line in r["t"].split("\n") if line.strip()][: 10 * n]
+    picked = first_by_hash(rows, n, F.xxhash64("i", "t", F.lit(2)), "i", "t").collect()
+    return [line for r in picked for line in r["t"].split("\n") if line.strip()][: LINES_PER_DOC * n]
 
 
 def _literal(values: list) -> Column:
@@ -202,13 +209,8 @@ def _literal(values: list) -> Column:
 
 def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, line (from 0), family, probability, overlap, confirmed: a row for each line that the model takes for a licence notice."""
-    # only words with a say for some family can raise it over the unknown class
-    strong = sorted({w for f, row in zip(model.features, model.weights, strict=True) if row.max() > 0 for w in f.split(" ")[:1]})
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    # dots and hyphens at a word's ends don't belong to it
-    edges = r"[.-]+(?![\p{L}\p{N}.-])|(?<![\p{L}\p{N}.-])[.-]+"
-    words = F.split(F.regexp_replace("t", edges, " "), r"[^\p{L}\p{N}.-]+")
-    rows = rows.where(F.arrays_overlap(words, _literal(strong)))
+    rows = rows.where(F.arrays_overlap(F.split("t", r"[^\p{L}\p{N}]+"), _literal(_needed(model))))
     lines = rows.select("doc_id", F.posexplode(F.split("t", "\n")).alias("line", "l"))
     ws = F.transform(F.regexp_extract_all("l", F.lit(rf"({_WORD})"), 1), lambda w: F.regexp_replace(w, r"[.-]+$", ""))
     # values that are used more than once are bound as lambda variables: as columns, the optimizer would copy their definitions
@@ -219,6 +221,25 @@ def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "tex
     )
 
 
+def _needed(model: Model) -> list[str]:
+    """Runs of letters and digits of which a text with any predicted line has at least one.
+
+    A feature is as common as its rarest word. The most common features whose sum stays under what a family needs can't
+    make it win by themselves; a line of the family has one of its other features, hence that feature's rarest word,
+    hence the word's longest run.
+    """
+    rarest = [min(f.split(" "), key=lambda w: (model.common.get(w, 0), -len(w))) for f in model.features]
+    out = set()
+    for j, offset in enumerate(model.offsets):
+        order = [i for i in np.argsort(model.weights[:, j]) if model.weights[i, j] > 0]
+        order.sort(key=lambda i: -model.common.get(rarest[i], 0))
+        reach = np.cumsum([model.weights[i, j] for i in order])
+        for i, sum_ in zip(order, reach, strict=True):
+            if sum_ + offset > 0:
+                out.add(max(re.findall(r"[^\W_]+", rarest[i]), key=len))
+    return sorted(out) or ["\x02"]
+
+
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
