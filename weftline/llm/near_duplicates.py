@@ -56,6 +56,8 @@ HELD_WORDS = 400_000
 BITMAP = 1 << 25
 #: Pairs for each node from which a bucket proposes nearest partners first.
 DENSE = 4
+#: Nodes up to this many are broadcast to pick out their sets (16 bytes each).
+BROADCAST_NODES = 500_000
 #: Pairs compared at a time in a bucket.
 CHUNK = 1 << 20
 
@@ -279,10 +281,39 @@ def _verified(percent: int) -> Callable:
     return run
 
 
+def _possible(percent: int) -> Callable:
+    """Of pairs with sizes and sketches: those that the bound doesn't exclude."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            keep = []
+            for i, (na, nb, sa, sb) in enumerate(zip(*(rows.column(c).to_pylist() for c in range(2, 6)), strict=True)):
+                x, y = np.frombuffer(sa, U), np.frombuffer(sb, U)
+                length = min(len(x), len(y))
+                apart = int(np.bitwise_count(folded(x, length) ^ folded(y, length)).sum())
+                if max(apart, abs(na - nb)) <= (100 - percent) * (na + nb) // (100 + percent):
+                    keep.append(i)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at)], ["a", "b"])
+
+    return run
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    sides = [sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in ("a", "b")]
+    full = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "nb", "sa", "sb")
+    return full.mapInArrow(_possible(percent), "a bigint, b bigint")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    sides = [sets.select(F.col("node").alias(x), F.col("elements").alias(f"_{x}")) for x in ("a", "b")]
-    full = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b")
+    """The pairs (a, b) whose sets are similar. Only sets of nodes in the pairs are shuffled."""
+    pairs = staged(pairs.select("a", "b"), "pairs")
+    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if need.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
+        need = F.broadcast(need)
+    slim = sets.select("node", "elements").join(need, "node", "left_semi")
+    sides = [slim.select(F.col("node").alias(x), F.col("elements").alias(f"_{x}")) for x in ("a", "b")]
+    full = pairs.join(sides[0], "a").join(sides[1], "b")
     return full.select("a", "b", "_a", "_b").mapInArrow(_verified(percent), "a bigint, b bigint")
 
 
@@ -383,7 +414,7 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     near = heavy.join(hub, "sig").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("common"))
     best = near.groupBy("node").agg(F.max(F.struct("common", "hub")).alias("h"))
     stars = best.select(F.col("h.hub").alias("a"), F.col("node").alias("b"))
-    edges = staged(verify(stars, sets, percent), "links")
+    edges = staged(verify(possible(stars, sets, percent), sets, percent), "links")
     roots = staged(components(edges), "roots")
 
     # further rounds: everything that the first one left apart
