@@ -290,6 +290,29 @@ def test_language_model_matches_brute_force(spark, frequent, monkeypatch):
         assert sum(own) == model.class_tokens[c] and len(own) == model.class_words[c]
 
 
+def test_words_beyond_the_units_choose_their_own_class(spark):
+    # equal endings, so one unit but for the 20 most frequent: xing words follow "a" and precede "b", yxing words the other way round
+    rng = random.Random(31)
+    xs, ys = ([f"{p}{i}ing" for i in range(40)] for p in "xy")
+    pairs = lambda: [w for _ in range(30) for w in rng.choice((("a", rng.choice(xs), "b"), ("c", rng.choice(ys), "d")))]
+    texts = [" ".join(pairs()) for _ in range(150)] + ["", None, "once"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    model, counts = language_model.learn(df, own=25, classes=8)
+    k = dict(zip(xs + ys, model.classes([w.encode() for w in xs + ys]).tolist(), strict=True))
+    assert not {k[w] for w in xs} & {k[w] for w in ys}
+    # counts of the last classes are exact, over all words and bigrams
+    train = Counter(w for t in texts for w in [*(t or "").encode().split(), b""])
+    of = dict(zip(train, model.classes(list(train)).tolist(), strict=True))
+    for c in range(8):
+        own = [n for w, n in train.items() if of[w] == c]
+        assert (sum(own), len(own)) == (model.class_tokens[c], model.class_words[c])
+    table = np.zeros((8, 8))
+    for t in texts:
+        ws = [b"", *(t or "").encode().split(), b""]
+        np.add.at(table, ([of[w] for w in ws[:-1]], [of[w] for w in ws[1:]]), 1)
+    assert (language_model.class_bigrams(df, model) == table).all()
+
+
 def test_language_model_without_training_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     model, counts = language_model.learn(none.select("text"), own=4, classes=3)

@@ -3,11 +3,14 @@
 Tokens: words `[^\\x20\\x09-\\x0D]+` with A-Z in lower case, then one end. Learning:
   1. Exact counts of all training tokens, pre-aggregated in each task, then summed by word (a staged table, as large as
      the vocabulary; it never comes to the driver).
-  2. Every word belongs to a unit: each of the most frequent words is one, all others share units by their ending. The
-     number of units is a parameter, so the matrix of unit bigrams, counted over all training documents, has a bounded
-     size and comes to the driver.
-  3. Exchange clustering moves units between classes while the class bigram likelihood grows; so every word has a class.
-  4. P(token | before) = P(class | class before) * P(token | class), both smoothed.
+  2. First classes: every word belongs to a unit: each of the most frequent words is one, all others share units by their
+     ending. Exchange clustering moves units between classes while the class bigram likelihood grows. It runs on the
+     driver on the matrix of unit bigrams, counted over all training documents.
+  3. Every other word that occurs CLUSTER_COUNT times then moves by itself: a distributed pass counts the classes before
+     and after it, and it goes to the class that raises the likelihood most. Only sparser words keep their ending's class.
+     What is broadcast of these words is a hash and a class, nine bytes for each.
+  4. The class bigrams are counted again with the last classes.
+  5. P(token | before) = P(class | class before) * P(token | class), both smoothed.
 
 Scoring needs the counts of a document's words. Documents are dealt into blocks of bounded size; the distinct words of a
 block (without the most frequent ones, whose counts are broadcast: their number is a parameter) are joined with the
@@ -20,10 +23,12 @@ documents N, V and all counts are 0, and the scores are what smoothing alone giv
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +42,10 @@ OWN_UNITS, SHARED_UNITS = 768, 255
 ENDING = 3
 CLASSES = 48
 SWEEPS = 12
+#: Words that occur so often get a class of their own choice; fewer uses say too little.
+CLUSTER_COUNT = 10
+#: Neighbours that a task holds before it passes their counts on; under 2^24.
+HELD_NEIGHBOURS = 4_000_000
 #: Words whose counts are broadcast.
 BROADCAST_WORDS = 20_000
 #: Tokens in a block of documents, about.
@@ -184,6 +193,147 @@ class Model:
     class_tokens: np.ndarray
     class_words: np.ndarray
     frequent: dict[bytes, int]  # counts of the most frequent words
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # of the words that moved by themselves, sorted
+    moved: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))  # their classes
+
+    def classes(self, ws: list[bytes]) -> np.ndarray:
+        """Class of each word."""
+        units = Units(self.single, len(self.single))
+        out = self.of[np.fromiter(map(units.__getitem__, ws), np.int64, len(ws))]
+        at = places(self.hashes, units, ws)
+        return np.where(at >= 0, self.moved[at], out) if len(self.hashes) else out
+
+
+def word_hashes(ws: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in ws), np.uint64)
+
+
+def places(hashes: np.ndarray, units: Units, ws: list[bytes]) -> np.ndarray:
+    """Place of each word in the sorted hashes, -1 where it has none; units of their own have none."""
+    if not len(hashes) or not ws:
+        return np.full(len(ws), -1)
+    h = word_hashes(ws)
+    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+    shared = np.fromiter(map(units.__getitem__, ws), np.int64, len(ws)) >= units.own
+    return np.where((hashes[at] == h) & shared, at, -1)
+
+
+class _Ids(dict):
+    """Numbers of words in order of their first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self)
+        return i
+
+
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """New words, numbers of a batch's words and where its documents begin, each from end to end. Empty new words: as before.
+
+    Numbers start again (new words lead with the end) where more than HELD_WORDS are held.
+    """
+    ids = _Ids()
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if len(ids) > HELD_WORDS:
+            ids = _Ids()
+        known, parts = len(ids), []
+        end = ids[END]
+        for text in b.column(0).to_pylist():
+            ws = words(text)
+            u = np.full(len(ws) + 2, end, np.int64)
+            u[1:-1] = np.fromiter(map(ids.__getitem__, ws), np.int64, len(ws))
+            parts.append(u)
+        starts = np.cumsum([0, *map(len, parts[:-1])])
+        yield list(islice(ids, known, None)), np.concatenate(parts), starts
+
+
+def class_bigrams(texts: DataFrame, model: Model) -> np.ndarray:
+    """How often each class follows each other, by the model's classes."""
+    size = len(model.class_tokens)
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, of = np.zeros(size * size, np.int64), np.zeros(0, np.int64)
+        for new, flat, starts in _sequences(batches):
+            found = shared.value.classes(new)
+            of = found if new and new[0] == END else np.concatenate((of, found))
+            k = of[flat]
+            cells += np.bincount(k[:-1] * size + k[1:], minlength=size * size)
+            cells[of[0] * size + of[0]] -= len(starts) - 1  # from one document to the next
+        full = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(cells[full])], ["cell", "n"])
+
+    found = texts.mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * size, np.int64)
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(size, size)
+
+
+def best_classes(texts: DataFrame, model: Model, table: np.ndarray, hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The class of each word of `hashes` (sorted) that raises the likelihood of the class bigrams `table` most.
+
+    A word is taken out of its present class first. With the others fixed, the gain is linear in the counts of the
+    classes before and after the word; tasks send those, one row for each word.
+    """
+    size = len(table)
+    smooth = table + 5 * (table.sum(0) + 1) / (table.sum() + size)
+    shared = texts.sparkSession.sparkContext.broadcast((model, hashes))
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, hashes = shared.value
+        units = Units(model.single, len(model.single))
+        of, at, keys, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        for new, flat, _ in _sequences(batches):
+            k, p = model.classes(new), places(hashes, units, new)
+            of, at = (k, p) if new and new[0] == END else (np.concatenate((of, k)), np.concatenate((at, p)))
+            where = np.flatnonzero(at[flat] >= 0)  # never an end, so neighbours are of the same document
+            for i in range(0, len(where), HELD_NEIGHBOURS // 2):
+                x = where[i : i + HELD_NEIGHBOURS // 2]
+                if held and held + 2 * len(x) > HELD_NEIGHBOURS:
+                    yield from packed(keys)
+                    keys, held = [], 0
+                base = ((at[flat[x]] * 256 + of[flat[x]]) * 2) * size
+                keys += [base + of[flat[x - 1]], base + size + of[flat[x + 1]]]
+                held += 2 * len(x)
+        if keys:
+            yield from packed(keys)
+
+    def packed(keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        word, cell = key // (2 * size), key % (2 * size)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        values = pa.array((cell * 2**24 + n).astype(np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(word)).astype(np.int32)), values)
+        whole = pa.RecordBatch.from_arrays([pa.array(word[first] // 256), pa.array((word[first] % 256).astype(np.int32)), lists], ["place", "old", "cells"])
+        for i in range(0, whole.num_rows, 20_000):
+            yield whole.slice(i, 20_000)
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)) for b in batches if b.num_rows]
+        if not rows:
+            return
+        place, old = (np.concatenate([r[i] for r in rows]) for i in (0, 1))
+        lengths = np.concatenate([r[2].value_lengths().to_numpy() for r in rows])
+        cells = np.concatenate([r[2].flatten().to_numpy() for r in rows])
+        which, first, at = np.unique(place, return_index=True, return_inverse=True)
+        old = old[first]
+        where = np.repeat(at, lengths) * 2 * size + cells // 2**24
+        dense = np.bincount(where, cells % 2**24, len(which) * 2 * size).reshape(len(which), 2, size)
+        before, after, n = dense[:, 0], dense[:, 1], dense[:, 0].sum(1)
+        logs, rows_, cols = np.log(smooth), smooth.sum(1), smooth.sum(0)
+        gain = before @ logs + after @ logs.T - n[:, None] * (np.log(rows_) + np.log(cols))
+        less = lambda x, y: np.log(np.maximum(x - y, 1e-3))
+        here = (before * less(smooth[:, old].T, before) + after * less(smooth[old], after)).sum(1)
+        gain[np.arange(len(which)), old] = here - n * (less(rows_[old], n) + less(cols[old], n))
+        best = 1 + np.argmax(gain[:, 1:], 1)  # class 0 is the end's
+        yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(best.astype(np.int32))], ["place", "class"])
+
+    sent = texts.mapInArrow(neighbours, "place bigint, old int, cells array<bigint>")
+    found = sent.repartition(parts, "place").mapInArrow(assigned, "place bigint, class int").toArrow()
+    out = np.zeros(len(hashes), np.uint8)
+    out[found.column("place").to_numpy()] = found.column("class").to_numpy()
+    return out
 
 
 def most_frequent(counts: DataFrame, n: int) -> list:
@@ -203,7 +353,7 @@ def most_frequent(counts: DataFrame, n: int) -> list:
     return sorted(rows, key=lambda r: (-r["c"], bytes(r["word"])))
 
 
-def learn(texts: DataFrame, own: int = OWN_UNITS, classes: int = CLASSES, broadcast_words: int = BROADCAST_WORDS) -> tuple[Model, DataFrame]:
+def learn(texts: DataFrame, own: int = OWN_UNITS, classes: int = CLASSES, broadcast_words: int = BROADCAST_WORDS, cluster_count: int = CLUSTER_COUNT) -> tuple[Model, DataFrame]:
     """The model, and the staged table of counts (word, c), from the column text."""
     counts = staged(word_counts(texts), "counts")
     n, v = counts.agg(F.sum("c"), F.count("*")).first()
@@ -214,44 +364,54 @@ def learn(texts: DataFrame, own: int = OWN_UNITS, classes: int = CLASSES, broadc
     single = [END, *[w for w in frequent if w != END][: own - 1]]
     bigrams = unit_bigrams(texts, single)
     of = exchange(bigrams, 0, classes)
-    size = len(single) + SHARED_UNITS
-    others = counts.where(~F.col("word").isin(single))
-    kinds = np.zeros(size, np.int64)
-    kinds[: len(single)] = 1
-    for r in others.mapInArrow(_ending_units(len(single)), "unit int, n bigint").groupBy("unit").agg(F.sum("n").alias("n")).collect():
-        kinds[r["unit"]] = r["n"]
-    tokens = np.bincount(of, bigrams.sum(0), classes)
-    onehot = np.zeros((size, classes))
-    onehot[np.arange(size), of] = 1
+    onehot = np.zeros((len(of), classes))
+    onehot[np.arange(len(of)), of] = 1
     table = onehot.T @ bigrams @ onehot
-    share = (tokens + 1) / (tokens.sum() + classes)
-    transition = np.log10((table + 5 * share) / (table.sum(1, keepdims=True) + 5))
-    return Model(int(n or 0), int(v), single, of, transition, tokens, np.bincount(of, kinds, classes), frequent), counts
-
-
-def _ending_units(own: int):
+    none = np.zeros(classes, np.int64)
+    model = Model(int(n or 0), int(v), single, of, table, none, none, frequent)
+    often = counts.where((F.col("c") >= cluster_count) & ~F.col("word").isin(single)).select("word")
+    hashes = often.mapInArrow(_hashed, "h bigint").toArrow().column("h").to_numpy().view(np.uint64)
+    if len(hashes) and classes > 2:
+        hashes = np.unique(hashes)
+        moved = best_classes(texts, model, table, hashes, max(1, -(-model.n // BLOCK_TOKENS)))
+        model.hashes, model.moved = hashes, moved
+        table = class_bigrams(texts, model)
+    kinds = none.copy()
+    for r in counts.mapInArrow(_words_of_classes(model), "class int, n bigint").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        kinds[r["class"]] = r["n"]
+    model.class_tokens, model.class_words = table.sum(0).astype(np.int64), kinds
+    share = (model.class_tokens + 1) / (model.class_tokens.sum() + classes)
+    model.transition = np.log10((table + 5 * share) / (table.sum(1, keepdims=True) + 5))
+    return model, counts
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(word_hashes(b.column(0).to_pylist()).view(np.int64))], ["h"])
+
+
+def _words_of_classes(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        found = np.zeros(len(model.class_tokens), np.int64)
         for b in batches:
-            found.update(ending_unit(w, own) for w in b.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int32()), pa.array(found.values(), pa.int64())], ["unit", "n"])
+            found += np.bincount(model.classes(b.column(0).to_pylist()), minlength=len(found))
+        full = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(found[full])], ["class", "n"])
 
     return run
 
 
 class _Local(dict):
-    """Index of each word of a block; counts and classes are kept beside it."""
+    """Index of each word of a block, in order; counts are kept beside it."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.units, self.frequent, self.of = Units(model.single, len(model.single)), model.frequent, model.of
+        self.frequent = model.frequent
         self.counts: list[int] = []
-        self.classes: list[int] = []
 
     def add(self, word: bytes, count: int) -> int:
         i = self[word] = len(self.counts)
         self.counts.append(count)
-        self.classes.append(self.of[self.units[word]])
         return i
 
     def __missing__(self, word: bytes) -> int:
@@ -301,7 +461,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_i
         flat = np.concatenate(at)
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         counts_ = np.array(local.counts, float)
-        classes = np.array(local.classes, np.int64)
+        classes = model.classes(list(local)).astype(np.int64)
         base = np.log10((counts_ + ADD) / (model.n + ADD * (model.v + 1)))
         emission = np.log10((counts_ + ADD) / (model.class_tokens + ADD * (model.class_words + 1))[classes])
         k = classes[flat]
