@@ -233,3 +233,13 @@ def test_predict_plugs_in_a_scorer(spark):
     assert got["a"].choice.choice == "yy" and got["b"].score == pytest.approx(1) and got["c"].p_true < 0.5
     m = spark.createDataFrame([({"b": "2", "a": "1"},)], "m map<string, string>").select(D.reversed_order(F.col("m")).alias("r")).first().r
     assert m.order == ["b", "a"]
+
+
+def test_jobs_see_all_prefixes(spark):
+    # histories stand behind more plain prefixes than there are jobs
+    rows = [(i, 0) for i in range(40)] + [(100 + i, 2) for i in range(3)]
+    bounds = spark.createDataFrame(rows, "conv_id long, last_index int").repartition(4)
+    plan = [{"slot": s, "form": f} for s, f in enumerate(["direct", "history_dependent"])]
+    found = P.eligible(bounds, len(plan) * 3, "conv_id", F.col("last_index") > 0)
+    assert P.assign(plan, found) == P.assign(plan, [(str(i), n > 0) for i, n in rows])
+    assert [j["prefix"] for j in P.assign(plan, found)] == ["0", "100", "1", "101", "2", "102"]

@@ -72,6 +72,16 @@ def assign(plan: list[dict], prefixes: list[tuple[str, bool]], attempts: int = R
     return out
 
 
+def eligible(bounds: DataFrame, demand: int, order: str, history: Column) -> list[tuple[str, bool]]:
+    """(id, has history) in order: all rows of bounds that assign() can take for `demand` jobs.
+
+    A job takes the first row left of all, or of those with history; so none takes a row behind the first `demand` of both.
+    """
+    rows = bounds.select(F.col(order).alias("id"), history.alias("history"))
+    first = [r.orderBy("id").limit(demand) for r in (rows, rows.where("history"))]
+    return [(str(r["id"]), r["history"]) for r in first[0].union(first[1]).distinct().orderBy("id").collect()]
+
+
 def fingerprint(**parts: object) -> str:
     """Digest of what a run depends on; a run resumes only under the same one."""
     return hashlib.sha256(canonical(parts).encode()).hexdigest()

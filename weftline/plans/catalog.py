@@ -850,8 +850,8 @@ def m11_task_codes(spark, sf_dir):
 @query()
 def w7_jobs(spark, sf_dir):
     """Also P7 and P8: prefixes of conversations assigned to slots."""
-    p = C.prefix_bounds(_conversations(spark, sf_dir), BUDGET).orderBy("conv_id").limit(300).collect()
-    jobs = P.assign(P.recipes(100, SEED), [(str(r["conv_id"]), r["last_index"] > 0) for r in p])
+    bounds, plan = C.prefix_bounds(_conversations(spark, sf_dir), BUDGET), P.recipes(100, SEED)
+    jobs = P.assign(plan, P.eligible(bounds, len(plan) * P.RETRY_LIMIT, "conv_id", F.col("last_index") > 0))
     return spark.createDataFrame([(j["slot"], j["attempt"], j["prefix"]) for j in jobs] or [(0, 0, "")], "slot int, attempt int, prefix string")
 
 
