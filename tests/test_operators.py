@@ -243,3 +243,17 @@ def test_jobs_see_all_prefixes(spark):
     found = P.eligible(bounds, len(plan) * 3, "conv_id", F.col("last_index") > 0)
     assert P.assign(plan, found) == P.assign(plan, [(str(i), n > 0) for i, n in rows])
     assert [j["prefix"] for j in P.assign(plan, found)] == ["0", "100", "1", "101", "2", "102"]
+
+
+def test_near_representatives_merge_exact_groups(spark, tmp_path):
+    from weftline.plans import catalog
+
+    rng = random.Random(17)
+    base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    near, far = base + " x", " ".join(f"v{rng.randrange(10**6)}" for _ in range(60))
+    # 0 is explored; 1 equals it, 2 is near it, 3 equals 2, 4 is another
+    texts = [base, base, near, near, far]
+    spark.createDataFrame([(i, t, "en", f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.doc_id: (r.root, r.quarantine) for r in catalog.queries()["g5_two_phase"](spark, str(tmp_path)).collect()}
+    assert got == {0: (0, True), 1: (0, True), 2: (0, True), 3: (0, True), 4: (4, False)}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.plans.staging import staged
@@ -48,6 +50,17 @@ def key_edges(keyed: DataFrame, node: str = "node", key: str = "key") -> DataFra
     return keyed.join(owner, key).select(F.col(node).alias("a"), "b").where("a <> b").distinct()
 
 
+def two_phase(nodes: DataFrame, edges: DataFrame, near: Callable[[DataFrame], DataFrame], order: tuple, node: str = "node") -> DataFrame:
+    """nodes plus root: components of the exact edges, merged where their representatives are near each other.
+
+    near: from representatives (one row of `nodes` for each exact component, the first by `order`) to pairs left, right.
+    """
+    exact = labelled(nodes, edges, node)
+    firsts = exact.withColumn("_f", F.row_number().over(Window.partitionBy("root").orderBy(*order))).where("_f = 1").drop("_f")
+    pairs = near(firsts).select(F.col("left").alias("a"), F.col("right").alias("b"))
+    return labelled(nodes, edges.select("a", "b").unionByName(pairs), node)
+
+
 def stable_group_id(members: DataFrame, group: str = "root", digest: str = "raw_sha256") -> DataFrame:
     """group, group_id: `g_` and the smallest digest of its members."""
     return members.groupBy(group).agg(F.concat(F.lit("g_"), F.min(digest)).alias("group_id"))

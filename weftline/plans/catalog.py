@@ -342,10 +342,24 @@ def g10_mixed_families(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {ROOTS}, x AS (SELECT doc_id, root, source, row_number() OVER (PARTITION BY root ORDER BY explored DESC, source, doc_id) AS r FROM g) SELECT root, doc_id, source FROM x WHERE r = 1")
 def g6_representatives(spark, sf_dir):
-    """Also G5 and G7: one member of each group, explored ones first, then by source order."""
+    """One member of each group of equal keys, explored ones first, then by source order."""
     return S.first_of_group(_members(spark, sf_dir), "root", F.desc("explored"), "source", "doc_id").select("root", "doc_id", "source")
 
 
+@query()
+def g5_two_phase(spark, sf_dir):
+    """Documents by root and quarantine after both phases: equal keys, then similar representatives in the same components."""
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("_q"))
+    docs = _documents(spark, sf_dir).join(marks, "doc_id", "left").withColumn("explored", F.coalesce(F.col("_q") == 0, F.lit(False)))
+
+    def near(firsts):
+        return J.threshold_join(firsts.select("doc_id", T.shingles(T.normalize_plain(F.col("text"))).alias("tokens")), 85, node="doc_id")
+
+    order = (F.desc("explored"), "source", "doc_id")
+    members = G.two_phase(docs, G.key_edges(_keyed(spark, sf_dir)), near, order, "doc_id")
+    return members.join(G.quarantined(members), "root").select("doc_id", "root", "quarantine")
+
+
 @query(f"WITH RECURSIVE {ROOTS}, v AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS kept FROM docs WHERE length(norm) >= 80) SELECT kept, count(*) AS views FROM v GROUP BY kept HAVING count(*) > 1")
 def g7_view_dedup(spark, sf_dir):
     """Also P10: views of 80 normalised characters at least; equal ones leave the first."""
