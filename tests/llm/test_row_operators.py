@@ -210,3 +210,20 @@ def test_scan_computes_the_model(spark, licence_model):
             assert not row, line
     assert {r.doc_id for r in got} == {0, 4, 5} and all(r.confirmed for r in got if r.doc_id > 0)
     assert licenses.scan(df.limit(0), m).count() == 0
+
+
+def test_wrapped_and_long_paragraphs(spark, licence_model):
+    prose = " ".join(f"plain{i} words of the river under a bridge" for i in range(60))
+    lesser = "licensed under the GNU Lesser General Public License, version 2.1."
+    texts = [
+        "Licensed under the GNU Lesser\nGeneral Public License, version 2.1.",
+        "# This work is licensed under a Creative Commons\n# Attribution-NonCommercial 4.0 International License.",
+        f"{prose} {lesser} {prose}",
+        f"Released under the MIT License. {prose} {lesser}",
+        "Released under the MIT License.\n\nLicensed under the GNU Lesser\n\nGeneral Public License",
+    ]
+    got = licenses.scan(docs(spark, texts), licence_model).collect()
+    of = lambda i: [(r.line, r.lines, r.family, r.confirmed) for r in sorted(got, key=lambda r: (r.line, r.word)) if r.doc_id == i]
+    assert of(0) == [(0, 2, "lgpl", True)] and of(1) == [(0, 2, "cc-by-nc", True)]
+    assert of(2) == [(0, 1, "lgpl", True)] and of(3) == [(0, 1, "mit", True), (0, 1, "lgpl", True)]
+    assert all(r.lines == 1 for r in got if r.doc_id == 4)

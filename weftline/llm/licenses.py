@@ -5,10 +5,12 @@ driver from the templates below (spans of them, with words dropped and surrounde
 sample of documents (`sample_docs`, the first by a hash of their ids) as the unknown class; its temperature and the
 unknown class's offset are calibrated on a held-out third of these examples.
 
-Scan: built-in expressions only. A document is looked at closely only where it has a word without which no family can
-reach the unknown class, so nothing is lost. Scores are sums over the features
-present, probabilities their softmax. A prediction is confirmed where enough of the line's bigrams, from its first to its
-last feature, stand in a template of that family. No shuffle; a document with many license lines gives many rows.
+Scan: built-in expressions only. Lines of a paragraph are judged as one where a bigram of a template spans the break, so a
+wrapped notice is seen whole, and notices on lines of their own stay apart. Longer units are judged in overlapping
+windows; of windows that find the same place, the best counts. A document or window is looked at closely only where it
+has a word without which no family can reach the unknown class, so nothing is lost. Scores are sums over the features
+present, probabilities their softmax. A prediction is confirmed where enough of the bigrams in the best stretch stand in a
+template of that family. No shuffle; a document with many licence notices gives many rows.
 
 Defined results: null and empty texts have no lines that count; repeated documents and lines give repeated rows; an
 empty table gives an empty result. Words are runs of letters, digits, dots and hyphens, in lower case.
@@ -101,7 +103,9 @@ NEARBY = (
 UNKNOWN = "unknown"
 SAMPLE_DOCS = 400
 LINES_PER_DOC = 10
-#: Share of the line's stretch of bigrams that a template must have.
+#: Words of a window, and from one window to the next; the longest template fits in what two neighbours share.
+WINDOW, STRIDE = 64, 32
+#: Share of the best stretch of bigrams that a template must have.
 CONFIRM = 0.6
 _WORD = r"[\p{L}\p{N}][\p{L}\p{N}.-]*"
 _PY_WORD = re.compile(r"[^\W_](?:[^\W_]|[.-])*")
@@ -208,25 +212,70 @@ def _literal(values: list) -> Column:
 
 
 def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, line (from 0), family, probability, overlap, confirmed: a row for each line that the model takes for a licence notice."""
+    """doc_id, line (from 0), lines, word, family, probability, overlap, confirmed: a row for each place that the model takes for a notice.
+
+    lines: how many lines are judged as one; word: where the window begins in them.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     rows = rows.where(F.arrays_overlap(F.split("t", r"[^\p{L}\p{N}]+"), _literal(_needed(model))))
-    lines = rows.select("doc_id", F.posexplode(F.split("t", "\n")).alias("line", "l"))
-    ws = F.transform(F.regexp_extract_all("l", F.lit(rf"({_WORD})"), 1), lambda w: F.regexp_replace(w, r"[.-]+$", ""))
+    units = rows.select("doc_id", F.explode(_units(F.col("t"))).alias("u")).select("doc_id", "u.line", "u.lines", "u.ws")
+    needed = _literal(_needed_words(model))
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size("ws") - WINDOW) / STRIDE), F.lit(0)).cast("int") * STRIDE, F.lit(STRIDE))
+    part = lambda i: F.slice("ws", i + 1, F.lit(WINDOW))
     # values that are used more than once are bound as lambda variables: as columns, the optimizer would copy their definitions
-    judged = _let(ws, lambda w: _let(_pairs(w), lambda p: _let(_places(model, w, p), lambda at: _verdict(model, p, at))))
-    found = lines.select("doc_id", F.col("line").cast("long").alias("line"), F.explode(F.filter(F.array(judged), lambda r: r["logit"] > 0)).alias("r"))
+    judged = lambda i: _let(part(i), lambda w: _let(_pairs(w), lambda p: _let(_places(model, w, p), lambda at: _verdict(model, p, at, i, F.size(w)))))
+    close = F.filter(F.transform(F.filter(starts, lambda i: F.arrays_overlap(part(i), needed)), judged), lambda r: r["logit"] > 0)
+    found = units.select("doc_id", "line", "lines", F.explode(_let(close, _best)).alias("r"))
     return found.select(
-        "doc_id", "line", "r.family", F.round("r.probability", 6).alias("probability"), F.round("r.overlap", 6).alias("overlap"), (F.col("r.overlap") >= CONFIRM).alias("confirmed")
+        "doc_id",
+        "line",
+        "lines",
+        F.col("r.start").cast("long").alias("word"),
+        "r.family",
+        F.round("r.probability", 6).alias("probability"),
+        F.round("r.overlap", 6).alias("overlap"),
+        (F.col("r.overlap") >= CONFIRM).alias("confirmed"),
+    )
+
+
+def _units(text: Column) -> Column:
+    """line, lines, ws: lines, or several of a paragraph where bigrams of the templates span their breaks."""
+    words = lambda line: F.transform(F.regexp_extract_all(line, F.lit(rf"({_WORD})"), 1), lambda w: F.regexp_replace(w, r"[.-]+$", ""))
+    spanning = _literal(sorted({g for ts in TEMPLATES.values() for t in ts for g in grams(tokens(t)) if " " in g}))
+
+    def of(ls: Column) -> Column:
+        ends = lambda i: F.concat(F.try_element_at(F.get(ls, i - 1), F.lit(-1)), F.lit(" "), F.get(F.get(ls, i), F.lit(0)))
+        heads = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: ~F.coalesce(F.array_contains(spanning, ends(i)), F.lit(False)))
+        return _let(heads, lambda hs: F.transform(hs, lambda h, k: unit(ls, h, F.coalesce(F.get(hs, k + 1), F.size(ls)) - h)))
+
+    def unit(ls: Column, head: Column, n: Column) -> Column:
+        ws = F.when(n > 1, F.flatten(F.slice(ls, head + 1, n))).otherwise(F.get(ls, head))
+        return F.struct(head.cast("long").alias("line"), n.cast("long").alias("lines"), ws.alias("ws"))
+
+    return _let(F.transform(F.split(text, "\n"), words), of)
+
+
+def _best(found: Column) -> Column:
+    """Without the windows whose stretch another, more certain window has too (at equal logits, an earlier one)."""
+    beaten = lambda r, o: (
+        (o["start"] != r["start"])
+        & (o["from"] <= r["to"])
+        & (r["from"] <= o["to"])
+        & ((o["logit"] > r["logit"]) | ((o["logit"] == r["logit"]) & (o["start"] < r["start"])))
     )
+    return F.filter(found, lambda r: ~F.exists(found, lambda o: beaten(r, o)))
 
 
 def _needed(model: Model) -> list[str]:
-    """Runs of letters and digits of which a text with any predicted line has at least one.
+    """Runs of letters and digits of which a text with any predicted place has at least one: the longest of each needed word."""
+    return sorted({max(re.findall(r"[^\W_]+", w), key=len) for w in _needed_words(model)})
+
+
+def _needed_words(model: Model) -> list[str]:
+    """Words of which any predicted place has at least one.
 
     A feature is as common as its rarest word. The most common features whose sum stays under what a family needs can't
-    make it win by themselves; a line of the family has one of its other features, hence that feature's rarest word,
-    hence the word's longest run.
+    make it win by themselves; a line of the family has one of its other features, hence that feature's rarest word.
     """
     rarest = [min(f.split(" "), key=lambda w: (model.common.get(w, 0), -len(w))) for f in model.features]
     out = set()
@@ -236,8 +285,8 @@ def _needed(model: Model) -> list[str]:
         reach = np.cumsum([model.weights[i, j] for i in order])
         for i, sum_ in zip(order, reach, strict=True):
             if sum_ + offset > 0:
-                out.add(max(re.findall(r"[^\W_]+", rarest[i]), key=len))
-    return sorted(out) or ["\x02"]
+                out.add(rarest[i])
+    return sorted(out) or ["none"]
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -256,7 +305,7 @@ def _places(model: Model, ws: Column, pairs: Column) -> Column:
     return F.transform(F.array_intersect(F.concat(ws, pairs), features), lambda g: F.array_position(features, g).cast("int"))
 
 
-def _verdict(model: Model, pairs: Column, at: Column) -> Column:
+def _verdict(model: Model, pairs: Column, at: Column, start: Column, size: Column) -> Column:
     logits = [_dot(_literal([float(x) for x in model.weights[:, j]]), float(model.offsets[j]), at) for j in range(len(model.families))]
     templates = F.array(*[_literal(sorted({g for t in TEMPLATES[f] for g in grams(tokens(t)) if " " in g})) for f in model.families])
 
@@ -264,18 +313,41 @@ def _verdict(model: Model, pairs: Column, at: Column) -> Column:
         top = F.array_max(z)
         best = F.array_position(z, top).cast("int")
         total = F.aggregate(z, F.exp(-top), lambda s, x: s + F.exp(x - F.array_max(z)))
-        overlap = _let(F.element_at(templates, best), lambda t: _overlap(pairs, t))
-        return F.struct(top.alias("logit"), (1 / total).alias("probability"), F.element_at(_literal(model.families), best).alias("family"), overlap.alias("overlap"))
+        family, probability = F.element_at(_literal(model.families), best), 1 / total
+        stretch = F.when(top > 0, _let(F.element_at(templates, best), lambda t: _stretch(pairs, t)))
+        return _let(stretch, lambda s: F.struct(top.alias("logit"), probability.alias("probability"), family.alias("family"), start.alias("start"), *place(s)))
+
+    def place(s: Column) -> list[Column]:
+        # without a shared bigram, a window's place is the whole of it
+        ends = {"from": start + s["from"], "to": start + s["to"] + 1}
+        return [s["overlap"].alias("overlap"), *(F.when(s["overlap"] > 0, v).otherwise(start if k == "from" else start + size - 1).alias(k) for k, v in ends.items())]
 
     return _let(F.array(*logits), of)
 
 
-def _overlap(pairs: Column, template: Column) -> Column:
-    """Shared distinct bigrams, of the bigrams from the first to the last shared one (two at least)."""
-    shared = F.size(F.array_intersect(pairs, template))
-    where = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: F.array_contains(template, F.get(pairs, i)))
-    span = _let(where, lambda s: F.array_max(s) - F.array_min(s) + 1)
-    return F.when(shared > 0, F.least(shared / F.greatest(span, F.lit(2)), F.lit(1.0))).otherwise(F.lit(0.0))
+def _stretch(pairs: Column, template: Column) -> Column:
+    """overlap, from, to: the best stretch of bigrams, and the share of shared distinct ones in it (of two bigrams at least).
+
+    Each shared bigram outweighs gaps of a few others; the stretch with the greatest sum is the best.
+    """
+    gap = CONFIRM / 2
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("start"), F.lit(0.0).alias("best"), F.lit(0).alias("from"), F.lit(-1).alias("to"), F.lit(0).alias("i"))
+
+    def step(s: Column, pair: Column) -> Column:
+        x = F.when(F.array_contains(template, pair), F.lit(1 - gap)).otherwise(F.lit(-gap))
+        now = F.struct((F.greatest(s["sum"], F.lit(0.0)) + x).alias("sum"), F.when(s["sum"] > 0, s["start"]).otherwise(s["i"]).alias("start"))
+        return _let(now, lambda n: F.struct(n["sum"], n["start"], F.greatest(s["best"], n["sum"]).alias("best"), *ends(s, n), (s["i"] + 1).alias("i")))
+
+    def ends(s: Column, n: Column) -> list[Column]:
+        more = n["sum"] > s["best"]
+        return [F.when(more, n["start"]).otherwise(s["from"]).alias("from"), F.when(more, s["i"]).otherwise(s["to"]).alias("to")]
+
+    def of(r: Column) -> Column:
+        span = r["to"] - r["from"] + 1
+        shared = F.size(F.array_intersect(F.slice(pairs, r["from"] + 1, span), template))
+        return F.struct((shared / F.greatest(span, F.lit(2))).alias("overlap"), r["from"], r["to"])
+
+    return _let(F.aggregate(pairs, zero, step), of)
 
 
 def _dot(weights: Column, offset: float, at: Column) -> Column:
