@@ -227,3 +227,14 @@ def test_wrapped_and_long_paragraphs(spark, licence_model):
     assert of(0) == [(0, 2, "lgpl", True)] and of(1) == [(0, 2, "cc-by-nc", True)]
     assert of(2) == [(0, 1, "lgpl", True)] and of(3) == [(0, 1, "mit", True), (0, 1, "lgpl", True)]
     assert all(r.lines == 1 for r in got if r.doc_id == 4)
+
+
+def test_long_prose_keeps_quotations_and_phrases(spark):
+    rng = random.Random(3)
+    some = lambda n: " ".join(f"mot{rng.randrange(10**6)}" for _ in range(n))
+    french = " ".join(f"Le voisin {some(3)} a dit « {some(5)} » {some(3)}." for _ in range(8))
+    german = " ".join(f"Der Nachbar {some(3)} rief »{some(5)}« {some(3)}." for _ in range(8))
+    policy = f"{some(60)}. One speaker mentioned the privacy policy once. {some(20)}."
+    menus = ["Home » News » Sport » Contact us.", "Please see our privacy policy.", "Home | News | « Sport » | Contact."]
+    got = {r.doc_id: r.text for r in quality.clean(docs(spark, [french, german, policy, *(f"{m}\n{PROSE}" for m in menus)])).collect()}
+    assert got == {0: french, 1: german, 2: policy, 3: PROSE, 4: PROSE, 5: PROSE}

@@ -10,6 +10,8 @@ table gives an empty result; input columns named like an output column are repla
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,10 @@ WINDOW = 5
 MIN_KEPT_PERCENT = 50
 #: A line fails beyond this percentage of symbol characters.
 MAX_SYMBOL_PERCENT = 10
+#: relative_line_fails: separators fail a line with fewer words than this for each of them.
+WORDS_PER_SEPARATOR = 8
+#: relative_line_fails: boilerplate phrases fail a line from this percentage of its characters.
+BOILERPLATE_PERCENT = 10
 #: A line without closing punctuation needs this many words, or it counts as a heading or a menu entry.
 MIN_OPEN_LINE_WORDS = 4
 
@@ -51,13 +57,39 @@ def words(text: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """True where a line breaks the navigation, boilerplate, symbol, shouting or punctuation rule; lines without a word pass."""
+    """True where a line breaks the navigation, boilerplate, symbol, shouting or punctuation rule; lines without a word pass.
+
+    Three separators or one phrase fail a line of any length, as in the query's SQL.
+    """
+    return _fails(line, _navigation(line), _boilerplate(line))
+
+
+def relative_line_fails(line: Column) -> Column:
+    """line_fails, but separators and phrases count by their share of the line, and guillemets in pairs are quotations."""
+    unquoted = F.regexp_replace(line, "«[^«»]*»|»[^«»]*«|‹[^‹›]*›|›[^‹›]*‹", "")
+    separators = F.length(F.regexp_replace(unquoted, "[^|»›·•]", ""))
+    phrases = F.length(line) - F.length(F.regexp_replace(line, "(?i)" + "|".join(BOILERPLATE), ""))
+    own_words = F.size(words(F.regexp_replace(line, "[|»›·•]", " ")))
+    # the plain rules come first: few lines need the shares
+    menu = _navigation(line) & (separators >= 3) & (separators * WORDS_PER_SEPARATOR > own_words)
+    return _fails(line, menu, _boilerplate(line) & (phrases * 100 >= F.length(line) * BOILERPLATE_PERCENT))
+
+
+def _navigation(line: Column) -> Column:
+    return line.rlike(r"^(?:[^|»›·•]*[|»›·•]){3}")
+
+
+def _boilerplate(line: Column) -> Column:
+    return line.rlike("(?i)" + "|".join(BOILERPLATE))
+
+
+def _fails(line: Column, navigation: Column, boilerplate: Column) -> Column:
     length = F.length(line)
     symbols = length - F.length(F.regexp_replace(line, r"[#*$%&|<>{}~^\\]", ""))
     shouts = length - F.length(F.regexp_replace(line, "!!", ""))
     return F.when(~line.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).otherwise(
-        line.rlike(r"^(?:[^|»›·•]*[|»›·•]){3}")
-        | line.rlike("(?i)" + "|".join(BOILERPLATE))
+        navigation
+        | boilerplate
         | (symbols * 100 > length * MAX_SYMBOL_PERCENT)
         | (shouts * 100 > length * MAX_SYMBOL_PERCENT)
         | (
@@ -84,7 +116,7 @@ transform(
 """
 
 
-def judge(df: DataFrame, text: str = "text") -> DataFrame:
+def judge(df: DataFrame, text: str = "text", fails: Callable[[Column], Column] = line_fails) -> DataFrame:
     """df plus cleaned_text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
     Hashes of the word windows decide cheaply whether any window can repeat (equal windows have equal hashes); only
@@ -105,7 +137,7 @@ def judge(df: DataFrame, text: str = "text") -> DataFrame:
     )
     worded = F.filter("_w_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     step = step.withColumn("_w_worded", worded).withColumn(
-        "cleaned_text", F.array_join(F.filter("_w_lines", lambda x: ~line_fails(x)), "\n")
+        "cleaned_text", F.array_join(F.filter("_w_lines", lambda x: ~fails(x)), "\n")
     )
     step = step.select(
         *others,
@@ -125,12 +157,12 @@ def judge(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def clean(df: DataFrame, text: str = "text") -> DataFrame:
-    """df without the documents that aren't kept, each text without its failing lines; all columns of df.
+    """df without the documents that aren't kept, each text without its failing lines (relative rules); all columns of df.
 
     The verdict is taken on a packed row: as a condition on columns, the optimizer would push it down and evaluate
     every rule twice.
     """
-    judged = judge(df.select(F.col(text), F.struct(*df.columns).alias("_row")), text)
+    judged = judge(df.select(F.col(text), F.struct(*df.columns).alias("_row")), text, relative_line_fails)
     packed = F.array(F.struct("kept", "cleaned_text", "_row"))
     r = judged.select(F.explode(F.filter(packed, lambda r: r["kept"])).alias("r")).select("r.cleaned_text", "r._row")
     return r.select(*[F.col("cleaned_text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in df.columns])
