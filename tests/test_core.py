@@ -176,3 +176,13 @@ def test_requests_as_text(spark):
     rows = [(json.dumps({"state": "s", "questions": {"q": CHOICE}}),), ("{} {}",), (None,)]
     got = spark.createDataFrame(rows, "t string").select(requests.validate_requests("t").alias("r")).collect()
     assert [r.r for r in got] == [None, "invalid_json", "invalid_json"]
+
+
+def test_registered_keys_have_quoted_documents(spark, tmp_path):
+    from weftline.plans import catalog
+
+    quoted = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, 0, "user", quoted + "\nWhat does it say?"), (2, 0, "user", quoted + "\nWho wrote this one?")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = catalog.queries()["f7_exact_keys"](spark, str(tmp_path)).where("kind = 'document'").collect()
+    assert {r.conv_id for r in got} == {1, 2} and len({r.key for r in got}) == 1
