@@ -591,7 +591,7 @@ q AS (SELECT 0 AS i, '' AS s, (SELECT c FROM ct WHERE split = 'train')::BIGINT A
 SELECT root::VARCHAR AS "group", 'test' AS split FROM h UNION ALL SELECT p.root::VARCHAR, q.s FROM p JOIN q USING (i)"""
 )
 def w10_split_allocation(spark, sf_dir):
-    """Also J7 and W11: the holdout family's components are all in its split."""
+    """Also W11: the holdout family's components are all in its split."""
     groups = _members(spark, sf_dir).groupBy(F.col("root").cast("string").alias("group")).agg(F.collect_set("lang").alias("families"))
     return S.allocate_splits(groups, FRACTIONS, SEED, "fr", "test")
 
@@ -709,7 +709,7 @@ def ag15_least_mass(spark, sf_dir):
 
 @query("SELECT vec_id, vec_id % 3 = 0 AS same, CASE vec_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'unnormalized' ELSE 'candidate_coverage' END AS error FROM embeddings")
 def p15_targets(spark, sf_dir):
-    """Also M10 and P16: valid, unnormalised and incomplete distributions."""
+    """Also M10: valid, unnormalised and incomplete distributions."""
     k = F.col("vec_id") % 3
     p = F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(F.lit(0.25), F.when(k == 1, 0.8).otherwise(0.75)))
     q = F.map_from_arrays(F.array(F.lit("b"), F.when(k == 2, "c").otherwise("a")), F.array(F.lit(0.75), F.lit(0.25)))
@@ -832,7 +832,7 @@ def sc1_located_scan(spark, sf_dir):
 
 @query("SELECT lang AS split, count(*) AS n, min(doc_id) AS low, max(doc_id) AS high FROM documents GROUP BY lang")
 def sk4_split_export(spark, sf_dir):
-    """Also SC5, SC6 and SK5: a folder for each split; the manifest of its files agrees with them."""
+    """A folder for each split, written and read back."""
     path = f"{shared_dir(spark)}/weftline-splits-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("split"))
     jsonl.write_splits(rows, path)
@@ -864,7 +864,7 @@ def m11_task_codes(spark, sf_dir):
 
 @query()
 def w7_jobs(spark, sf_dir):
-    """Also P7 and P8: prefixes of conversations assigned to slots."""
+    """Prefixes of conversations assigned to slots."""
     bounds, plan = C.prefix_bounds(_conversations(spark, sf_dir), BUDGET), P.recipes(100, SEED)
     jobs = P.assign(plan, P.eligible(bounds, len(plan) * P.RETRY_LIMIT, "conv_id", F.col("last_index") > 0))
     return spark.createDataFrame([(j["slot"], j["attempt"], j["prefix"]) for j in jobs] or [(0, 0, "")], "slot int, attempt int, prefix string")
