@@ -201,6 +201,25 @@ def test_one_of_each_group_stays(spark):
     assert near_duplicates.one_of_each(df.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_link_and_leave(spark):
+    rng = random.Random(19)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(100)] for _ in range(3)]
+    text = lambda k, end="": " ".join(base[k]) + end
+    # 5 and a near copy without id; 7 and 9 linked by a row without id only; copies without any id; nothing
+    seven, nine = " ".join(base[1][8:]), " ".join(base[1][:-8])
+    rows = [(5, text(0)), (None, text(0, " end")), (7, seven), (None, text(1)), (9, nine), (None, text(2)), (None, text(2)), (None, text(2, " end")), (None, None), (None, "")]
+    df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, c string")
+    got = near_duplicates.join(df).collect()
+    key = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id if r.component_id is not None else -1) for r in got)
+    assert key == brute_components(rows, 4, 85) and (9, len(shingles(nine, 4)), 7) in key
+    kept = near_duplicates.one_of_each(df, width=4, percent=85)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [5, 7]
+    nameless = [r.text for r in got if r.doc_id is None]
+    assert sorted(t or "" for t in nameless)[:2] == ["", ""] and len(nameless) == 3
+
+
 def rendered(template, messages):
     return "".join(p for p, _ in chat.compiled(template)(iter(messages)))
 

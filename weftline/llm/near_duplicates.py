@@ -39,7 +39,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.graph import components
@@ -239,14 +239,19 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held_sig, held_node, np.array([open_]))
 
 
-def _needed_sets(width: int, bits) -> Callable:
+def _needed_sets(width: int, bits, unnamed) -> Callable:
+    """Sets of the documents whose ids are in bits, and those of documents without an id whose nodes are in unnamed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, wanted = Hashes(), np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little")
+        nodes = np.unpackbits(np.frombuffer(unnamed.value, np.uint8), bitorder="little") if unnamed else None
         for b in batches:
             ids = b.column(0)
-            at = np.flatnonzero(wanted[ids.fill_null(0).to_numpy(zero_copy_only=False) % BITMAP] & ids.is_valid().to_numpy(zero_copy_only=False))
-            sets = [shingle_set(t, width, hashes) for t in b.column(1).take(pa.array(at)).to_pylist()]
-            sets = [s for s in sets if len(s)]
+            valid = ids.is_valid().to_numpy(zero_copy_only=False)
+            named = wanted[ids.fill_null(0).to_numpy(zero_copy_only=False) % BITMAP] & valid
+            at = np.flatnonzero(named if nodes is None else named | ~valid)
+            sets = zip(at, (shingle_set(t, width, hashes) for t in b.column(1).take(pa.array(at)).to_pylist()), strict=True)
+            sets = [s for i, s in sets if len(s) and (valid[i] or nodes[fingerprint(s) % BITMAP])]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([fingerprint(s) for s in sets], pa.int64()),
@@ -259,9 +264,9 @@ def _needed_sets(width: int, bits) -> Callable:
     return run
 
 
-def _bits(docs_needed: DataFrame) -> bytes:
-    """A bitmap of the ids modulo BITMAP."""
-    x = F.pmod(F.col("doc_id"), F.lit(BITMAP))
+def _bits(docs_needed: DataFrame, column: str = "doc_id") -> bytes:
+    """A bitmap of the column's values modulo BITMAP."""
+    x = F.pmod(F.col(column), F.lit(BITMAP))
     parts = docs_needed.select(F.bitmap_bucket_number(x + 1).alias("k"), F.bitmap_bit_position(x + 1).alias("p"))
     out = bytearray(BITMAP // 8)
     for r in parts.groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits")).collect():
@@ -401,7 +406,10 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     first = member.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     reps = staged(first.join(wanted, "node"), "reps")
     bits = spark.sparkContext.broadcast(_bits(reps.where("doc_id IS NOT NULL")))
-    found = rows.mapInArrow(_needed_sets(width, bits), "node bigint, sketch binary, elements binary")
+    # a set that stands only in documents without an id is found by its node
+    nameless = reps.where("doc_id IS NULL")
+    unnamed = None if nameless.isEmpty() else spark.sparkContext.broadcast(_bits(nameless, "node"))
+    found = rows.mapInArrow(_needed_sets(width, bits, unnamed), "node bigint, sketch binary, elements binary")
     found = found.join(reps.select("node", "n"), "node").dropDuplicates(["node"])
     sets = staged(found, "sets")
 
@@ -442,24 +450,58 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row of docs."""
-    member, roots = links(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width, percent)
+    member, of_node = _components(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width, percent)
+    out = member.join(of_node.drop("root"), "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The membership of links(), and node, root and component_id of every node."""
+    member, roots = links(docs, width, percent)
     # classes are small against documents: one row for each set, then for each component
     ids = member.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"))
     named = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_node = named.select("node", "root").join(lowest, "root").select("node", "component_id")
-    out = member.join(of_node, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return member, named.select("node", "root").join(lowest, "root").select("node", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but one document of each group of linked ones; the smallest id stays, once."""
-    found = join(docs, doc_id, text, width, percent)
+    """docs without all but one document of each group of linked ones; the smallest id stays, once.
+
+    Of a group without any id, one row stays; rows without a word are in no group.
+    """
+    member, of_node = _components(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width, percent)
+    of_node = staged(of_node, "components")
+    found = member.join(of_node.drop("root"), "node", "left")
+    found = found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     keep = found.groupBy("doc_id", "component_id").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n"))
     keep = staged(keep.where("doc_id = component_id OR doc_id IS NULL"), "keep")
     kept = docs.join(keep.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_keep")), F.col(doc_id) == F.col("_keep"), "left_semi")
-    kept = kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    named = kept
     if not keep.where("rows > 1 AND n > 0").isEmpty():
         # rows that repeat an id: of equal texts one stays
-        kept = kept.dropDuplicates([doc_id, text])
-    return kept
+        named = kept.dropDuplicates([doc_id, text])
+    return named.unionByName(_nameless(docs, of_node, doc_id, text, width))
+
+
+def _nameless(docs: DataFrame, of_node: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """Rows without an id that no row with one is linked to, one of each group."""
+    rows = docs.where(F.col(doc_id).isNull()).select(F.struct(*docs.columns).alias("_row"), F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = rows.select("doc_id", "text").distinct()
+    nodes = texts.mapInArrow(_texts_noded(width), "text string, node bigint")
+    groups = nodes.join(of_node, "node", "left").where("component_id IS NULL").select(F.col("text").alias("_t"), "node", "root")
+    found = rows.join(groups, F.col("text").eqNullSafe(F.col("_t")))
+    first = F.row_number().over(Window.partitionBy("root").orderBy("text"))
+    worded = found.where("node IS NOT NULL").withColumn("_f", first).where("_f = 1").select("_row.*")
+    return found.where("node IS NULL").select("_row.*").unionByName(worded)
+
+
+def _texts_noded(width: int) -> Callable:
+    """Rows (doc_id, text) to text and node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        noded = _noded(width)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(1), next(noded(iter([b]))).column(1)], ["text", "node"])
+
+    return run
