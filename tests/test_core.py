@@ -118,14 +118,14 @@ def test_every_category_is_masked(spark, text, category):
     assert s.counts == {category: 1} and s.excluded == (category in masking.EXCLUDING)
 
 
-@pytest.mark.parametrize("text", ['{"a": 1}', '```json\n{"a": 1}\n```', '```\n{"a": [null, {"b": 1.5}]}\n```', "  {} "])
+@pytest.mark.parametrize("text", ['{"a": 1}', '```json\n{"a": 1}\n```', '```JSON \t\r\n{"a": "```"}\r\n```\n', '```\n\n{}\n\n```', '```\n{"a": [null, {"b": 1.5}]}\n```', "  {} "])
 def test_strict_json_accepts(text):
     assert isinstance(strict_json.parse_object(text), dict)
 
 
 @pytest.mark.parametrize(
     ("text", "reason"),
-    [("{} {}", "invalid_json"), ('{"a":1,"a":2}', "duplicate_json_key"), ('{"x":{"a":1,"a":2}}', "duplicate_json_key"), ("[1]", "json_object_required"), ('{"a": NaN}', "nonfinite_json"), ('{"a": 1e999}', "invalid_json"), ("```json\n{}\n``` more", "invalid_json_fence"), ("", "invalid_json"), ("null", "json_object_required")],
+    [("{} {}", "invalid_json"), ('{"a":1,"a":2}', "duplicate_json_key"), ('{"x":{"a":1,"a":2}}', "duplicate_json_key"), ("[1]", "json_object_required"), ('{"a": NaN}', "nonfinite_json"), ('{"a": 1e999}', "invalid_json"), ("```json\n{}\n``` more", "invalid_json_fence"), ("```yaml\n{}\n```", "invalid_json_fence"), ("```json {}```", "invalid_json_fence"), ("```\n```", "invalid_json_fence"), ("```\n{}```", "invalid_json_fence"), ("", "invalid_json"), ("null", "json_object_required")],
 )
 def test_strict_json_rejects(text, reason):
     with pytest.raises(ValueError, match=reason):

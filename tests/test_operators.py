@@ -200,9 +200,64 @@ def test_recipes_fill_their_quotas():
     assert list(counts.values()) == [36, 20, 12, 8, 4, 20]
     assert any(r["k"] == 255 for r in plan[:6]) and sum(r["k"] == 255 for r in plan) >= 2 and plan == P.recipes(100, 3) != P.recipes(100, 4)
     assert all(P.BUCKETS[r["bucket"]][0] <= r["k"] <= P.BUCKETS[r["bucket"]][1] for r in plan if r["type"] == "choice")
-    three = [{"slot": i, "form": f} for i, f in enumerate(("history_dependent", "direct", "direct", "direct"))]
-    jobs = P.assign(three, [("a", False), ("b", True), ("c", False)])
-    assert [(j["slot"], j["prefix"]) for j in jobs] == [(0, "b"), (1, "a"), (2, "c")]
+
+
+def greedy_jobs(plan, prefixes, attempts=3):
+    """Each job in turn takes the first prefix left that suits it."""
+    left, out = list(prefixes), []
+    for a in range(attempts):
+        for r in plan:
+            fit = [p for p in left if p[1] or r["form"] != "history_dependent"]
+            if fit:
+                left.remove(fit[0])
+                out.append((r["slot"], a, fit[0][0]))
+    return sorted(out)
+
+
+def assigned(spark, plan, prefixes, attempts=3):
+    rows = [(i, h, at) for at, (i, h) in enumerate(prefixes)]
+    table = spark.createDataFrame(rows, "id long, history boolean, position int")
+    return sorted((r.slot, r.attempt, r.id) for r in P.assign(P.jobs_of(spark, plan, attempts), table).collect())
+
+
+def test_jobs_take_the_first_prefix_that_suits(spark):
+    rng = random.Random(23)
+    for n, share in ((0, 0.5), (3, 0.4), (9, 0.0), (9, 1.0), (12, 0.3), (40, 0.2), (40, 0.7)):
+        for need in (0.0, 0.3, 0.8):
+            plan = [{"slot": s, "form": "history_dependent" if rng.random() < need else "direct"} for s in range(5)]
+            prefixes = [(100 + i, rng.random() < share) for i in range(n)]
+            assert assigned(spark, plan, prefixes) == greedy_jobs(plan, prefixes)
+
+
+def test_splits_by_position_equal_the_turns(spark):
+    rng = random.Random(29)
+    for room in ({"train": 7, "dev": 2, "test": 5}, {"a": 0, "b": 4}, {"a": 3, "b": 3, "c": 3}, {s: rng.randint(0, 30) for s in "abcde"}):
+        priority = {s: rng.choice((0.1, 0.2, 0.3)) for s in room}
+        left, expected = dict(room), []
+        for _ in range(sum(room.values())):
+            s = max(left, key=lambda s: (left[s], priority[s]))
+            left[s] -= 1
+            expected.append(s)
+        rows = spark.range(len(expected) + 1).select("id", S.split_at(F.col("id"), room, priority).alias("s")).orderBy("id").collect()
+        assert [r.s for r in rows] == [*expected, None]
+
+
+def test_the_holdout_family_is_protected(spark):
+    rows = [(str(i), ["main", "holdout"] if i == 0 else ["holdout"] if i == 1 else ["main"]) for i in range(100)]
+    df = spark.createDataFrame(rows, "group string, families array<string>").repartition(3)
+    got = {r.group: r for r in S.allocate_splits(df, {"train": 0.8, "test": 0.2}, 4, "holdout", "test").collect()}
+    assert got["0"].split == got["1"].split == "test" and got["0"].evaluation_slice == "source_holdout" != got["2"].evaluation_slice
+    assert sum(r.split == "train" for r in got.values()) == 80 and len(got) == 100
+    assert got == {r.group: r for r in S.allocate_splits(df.repartition(5), {"train": 0.8, "test": 0.2}, 4, "holdout", "test").collect()}
+    with pytest.raises(ValueError):
+        S.allocate_splits(df, {"train": 0.99, "test": 0.01}, 4, "holdout", "test")
+
+
+def test_positions_are_a_sort(spark):
+    df = spark.range(500).select(F.sha2(F.col("id").cast("string"), 256).alias("d"))
+    got = S.positions(df, "d", per_bucket=5).orderBy("d").collect()
+    assert [r.position for r in got] == list(range(500))
+    assert S.positions(df.limit(0), "d").count() == 0
 
 
 def test_runs_resume_under_one_fingerprint():
@@ -241,8 +296,9 @@ def test_jobs_see_all_prefixes(spark):
     bounds = spark.createDataFrame(rows, "conv_id long, last_index int").repartition(4)
     plan = [{"slot": s, "form": f} for s, f in enumerate(["direct", "history_dependent"])]
     found = P.eligible(bounds, len(plan) * 3, "conv_id", F.col("last_index") > 0)
-    assert P.assign(plan, found) == P.assign(plan, [(str(i), n > 0) for i, n in rows])
-    assert [j["prefix"] for j in P.assign(plan, found)] == ["0", "100", "1", "101", "2", "102"]
+    got = sorted((r.attempt, r.slot, r.id) for r in P.assign(P.jobs_of(spark, plan), found).collect())
+    assert sorted((s, a, i) for a, s, i in got) == greedy_jobs(plan, [(i, n > 0) for i, n in rows])
+    assert [i for *_, i in got] == [0, 100, 1, 101, 2, 102]
 
 
 def test_near_representatives_merge_exact_groups(spark, tmp_path):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.strict_json import canonical
@@ -56,30 +56,49 @@ def recipes(slots: int, seed: int) -> list[dict]:
     return out
 
 
-def assign(plan: list[dict], prefixes: list[tuple[str, bool]], attempts: int = RETRY_LIMIT) -> list[dict]:
-    """slot, attempt, prefix: attempts of all slots in turn, each taking the first prefix left that suits it.
+def jobs_of(spark: SparkSession, plan: list[dict], attempts: int = RETRY_LIMIT) -> DataFrame:
+    """turn (from 0), slot, attempt, need (only a prefix with history will do): all slots of the first attempt, then of the next."""
+    rows = [(r["slot"], r["form"] == "history_dependent") for r in plan]
+    slots = spark.createDataFrame(rows or [(0, False)], "slot long, need boolean").limit(len(rows))
+    place = F.row_number().over(Window.orderBy("slot")) - 1
+    numbered = slots.withColumn("_p", place)
+    each = numbered.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+    return each.select((F.col("attempt") * len(rows) + F.col("_p")).alias("turn"), "slot", "attempt", "need")
 
-    prefixes: (id, has history), in order; a history-dependent recipe needs history. Bounded by slots times attempts.
-    """
-    left, out = dict(prefixes), []
-    for attempt in range(attempts):
-        for r in plan:
-            need = r["form"] == "history_dependent"
-            prefix = next((p for p, history in left.items() if history or not need), None)
-            if prefix is not None:
-                del left[prefix]
-                out.append({"slot": r["slot"], "attempt": attempt, "prefix": prefix})
-    return out
 
+def assign(jobs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """slot, attempt, id: jobs in turn, each with the first prefix left that suits it; jobs for which none is left get no row.
 
-def eligible(bounds: DataFrame, demand: int, order: str, history: Column) -> list[tuple[str, bool]]:
-    """(id, has history) in order: all rows of bounds that assign() can take for `demand` jobs.
+    jobs: jobs_of(); prefixes: id, history, position (from 0). Prefixes with history leave in order, and so do the others,
+    whoever takes them. A prefix without history at position p is taken by the first job for any prefix whose turn is p or
+    later, after the job that took such a prefix before it: a running maximum. The remaining jobs take the prefixes with
+    history, by rank. Tables are bounded by the number of jobs, see eligible().
+    """
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by[:-1]).orderBy(by[-1])) - 1
+    numbered = jobs.withColumn("k", rank("need", "turn"))  # for any prefix: k jobs such before
+    plain = prefixes.where("NOT history").withColumn("n", rank(F.lit(0), "position"))
+    # f: how many jobs for any prefix come before the turn that equals the position
+    earlier = Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    before = jobs.select(F.col("turn").alias("position"), F.coalesce(F.count_if(~F.col("need")).over(earlier), F.lit(0)).alias("f"))
+    ahead = plain.join(before, "position", "left").withColumn("f", F.coalesce("f", F.lit(jobs.where("NOT need").count())))
+    latest = F.max(F.col("f") - F.col("n")).over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    taken = ahead.select("id", (F.col("n") + latest).alias("k"))
+    free = numbered.where("NOT need").join(taken, "k", "left").select("turn", "slot", "attempt", "id")
+    left = free.where("id IS NULL").select("turn", "slot", "attempt").unionByName(numbered.where("need").select("turn", "slot", "attempt"))
+    ranked = prefixes.where("history").select("id", rank(F.lit(0), "position").alias("y"))
+    given = left.withColumn("y", rank(F.lit(0), "turn")).join(ranked, "y")
+    return free.where("id IS NOT NULL").select("slot", "attempt", "id").unionByName(given.select("slot", "attempt", "id"))
+
+
+def eligible(bounds: DataFrame, demand: int, order: str, history: Column) -> DataFrame:
+    """id, history, position: all rows of bounds that assign() can take for `demand` jobs.
 
     A job takes the first row left of all, or of those with history; so none takes a row behind the first `demand` of both.
     """
-    rows = bounds.select(F.col(order).alias("id"), history.alias("history"))
+    rows = bounds.select(F.col(order).alias("id"), F.coalesce(history, F.lit(False)).alias("history"))
     first = [r.orderBy("id").limit(demand) for r in (rows, rows.where("history"))]
-    return [(str(r["id"]), r["history"]) for r in first[0].union(first[1]).distinct().orderBy("id").collect()]
+    both = first[0].union(first[1]).distinct()
+    return both.withColumn("position", F.row_number().over(Window.orderBy("id")) - 1)
 
 
 def fingerprint(**parts: object) -> str:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
@@ -93,47 +92,56 @@ def allocations(shares: DataFrame, total: int) -> DataFrame:
     return base.withColumn("extra", (F.row_number().over(w) <= left).cast("int")).select("name", (F.col("whole") + F.col("extra")).cast("long").alias("n"))
 
 
-def split_sequence(counts: dict[str, int], used: dict[str, int], fractions: dict[str, float], n: int) -> list[str]:
-    """Which split each of n groups in turn goes to: the one with the most room, then the largest fraction."""
-    room = Counter({s: c - used.get(s, 0) for s, c in counts.items()})
-    out = []
-    for _ in range(n):
-        split = max(fractions, key=lambda s: (room[s], fractions[s]))
-        room[split] -= 1
-        out.append(split)
-    return out
+def split_at(position: Column, room: dict[str, int], priority: dict[str, float]) -> Column:
+    """The split that takes the group at a position (from 0), where each group in turn goes to the split with the most room.
+
+    A split with room r is chosen once at each of the levels r, r - 1, ..., 1. Between two neighbouring rooms the same
+    splits are open, by falling priority, so there the position counts through them in turn. That gives one case for each
+    distinct room, however many groups there are. Null beyond the last room.
+    """
+    open_, start, end = [], 0, F.lit(None).cast("string")
+    levels = sorted({r for r in room.values() if r > 0}, reverse=True)
+    cases = []
+    for level, below in zip(levels, [*levels[1:], 0], strict=True):
+        open_ = sorted((s for s in room if room[s] >= level), key=lambda s: -priority[s])
+        cases.append((start, list(open_)))
+        start += (level - below) * len(open_)
+    for first, names in cases:
+        turn = F.pmod(position - first, F.lit(len(names))).cast("int")
+        end = F.when(position >= first, F.get(F.array(*map(F.lit, names)), turn)).otherwise(end)
+    return F.when(position < start, end)
 
 
 def allocate_splits(groups: DataFrame, fractions: dict[str, float], seed: int, holdout_family: str, holdout_split: str) -> DataFrame:
-    """group, split of a table (group, families): groups with the holdout family go to its split, the others by digest order.
+    """group, split, evaluation_slice of a table (group, families).
 
-    The position of a group in digest order is found by a distributed sort (range-partitioned, then offsets of the
-    partitions); the sequence of splits is the only thing made on the driver, as runs of equal splits.
+    Groups with the holdout family go to its split (slice `source_holdout`), the others by digest order (slice
+    `in_distribution`). A group's position in digest order comes from a distributed sort, its split is an expression of
+    the position. Only counts reach the driver.
     """
-    n = groups.count()
-    exact = {s: n * f for s, f in fractions.items()}
-    counts = {s: math.floor(x + 1e-9) for s, x in exact.items()}
-    for s in sorted(fractions, key=lambda s: (counts[s] - exact[s], s))[: n - sum(counts.values())]:
-        counts[s] += 1
-    held = groups.where(F.array_contains("families", holdout_family)).select("group", F.lit(holdout_split).alias("split"))
-    used = held.count()
-    if used > counts[holdout_split]:
+    spark = groups.sparkSession
+    marked = groups.select("group", F.coalesce(F.array_contains("families", holdout_family), F.lit(False)).alias("held"))
+    n, used = marked.agg(F.count("*"), F.coalesce(F.sum(F.col("held").cast("long")), F.lit(0))).first()
+    names = spark.createDataFrame([(s, f, i) for i, (s, f) in enumerate(sorted(fractions.items()))], "name string, share double, place int")
+    room = {r["name"]: r["n"] for r in allocations(names, n).collect()}
+    room[holdout_split] -= used
+    if room[holdout_split] < 0:
         raise ValueError("more groups with the holdout family than its split takes")
-    free = groups.where(~F.array_contains("families", holdout_family))
-    digest = F.sha2(F.concat(F.lit(f"[{seed},"), F.to_json(F.array("group")).substr(F.lit(2), F.length(F.to_json(F.array("group"))) - 2), F.lit("]")), 256)
-    placed = positions(free.select("group", digest.alias("digest")), "digest", "group")
-    sequence = split_sequence(counts, {holdout_split: used}, fractions, n - used)
-    table = groups.sparkSession.createDataFrame(list(enumerate(sequence)) or [(-1, "")], "position long, split string")
-    return placed.join(table, "position").select("group", "split").unionByName(held)
+    as_text = F.to_json(F.array("group"))
+    digest = F.sha2(F.concat(F.lit(f"[{seed},"), as_text.substr(F.lit(2), F.length(as_text) - 2), F.lit("]")), 256)
+    placed = positions(marked.where("NOT held").select("group", digest.alias("digest")), "digest", "group")
+    free = placed.select("group", split_at(F.col("position"), room, fractions).alias("split"), F.lit("in_distribution").alias("evaluation_slice"))
+    return free.unionByName(marked.where("held").select("group", F.lit(holdout_split).alias("split"), F.lit("source_holdout").alias("evaluation_slice")))
 
 
-def positions(rows: DataFrame, *order: str) -> DataFrame:
+def positions(rows: DataFrame, *order: str, per_bucket: int = 50_000) -> DataFrame:
     """rows plus position from 0 in the given order, without gathering them in one task.
 
-    Rows are bucketed by the first hex digits of the leading column; ranks within a bucket and totals of the buckets
-    before it add up.
+    The leading column is a hex digest. Rows are bucketed by as many of its first digits as leave about per_bucket rows to
+    a bucket; ranks within a bucket and totals of the buckets before it add up.
     """
-    bucket = F.substring(order[0], 1, 3)
+    digits = max(1, math.ceil(math.log(max(1, rows.count()) / per_bucket, 16)))
+    bucket = F.substring(order[0], 1, digits)
     keyed = rows.withColumn("_b", bucket)
     totals = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
     before = totals.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))

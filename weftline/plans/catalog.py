@@ -588,7 +588,7 @@ q AS (SELECT 0 AS i, '' AS s, (SELECT c FROM ct WHERE split = 'train')::BIGINT A
  UNION ALL SELECT i + 1, CASE WHEN a >= b AND a >= d THEN 'train' WHEN b >= d THEN 'test' ELSE 'dev' END,
  a - CASE WHEN a >= b AND a >= d THEN 1 ELSE 0 END, b - CASE WHEN NOT (a >= b AND a >= d) AND b >= d THEN 1 ELSE 0 END, d - CASE WHEN NOT (a >= b AND a >= d) AND NOT b >= d THEN 1 ELSE 0 END
  FROM q WHERE i < (SELECT count(*) FROM p))
-SELECT root::VARCHAR AS "group", 'test' AS split FROM h UNION ALL SELECT p.root::VARCHAR, q.s FROM p JOIN q USING (i)"""
+SELECT root::VARCHAR AS "group", 'test' AS split, 'source_holdout' AS evaluation_slice FROM h UNION ALL SELECT p.root::VARCHAR, q.s, 'in_distribution' FROM p JOIN q USING (i)"""
 )
 def w10_split_allocation(spark, sf_dir):
     """Also W11: the holdout family's components are all in its split."""
@@ -862,12 +862,27 @@ def m11_task_codes(spark, sf_dir):
     return P.tasks(e, P.codebook(P.letter_codes(spark), 255, SEED))
 
 
-@query()
+def _jobs_sql() -> str:
+    """The greedy choice as a recursion over jobs: how many prefixes of each kind are gone, and what the job took."""
+    plan = ", ".join(f"({r['slot']}, {str(r['form'] == 'history_dependent').upper()})" for r in P.recipes(100, SEED))
+    return f"""WITH RECURSIVE {BOUNDS}, plan(slot, need) AS (VALUES {plan}),
+jobs AS (SELECT row_number() OVER (ORDER BY attempt, slot) AS t, slot, attempt, need FROM plan, range(3) a(attempt)),
+p AS (SELECT conv_id, last_index > 0 AS history, row_number() OVER (ORDER BY conv_id) AS i FROM b),
+y AS (SELECT conv_id, i, row_number() OVER (ORDER BY i) - 1 AS k FROM p WHERE history),
+n AS (SELECT conv_id, i, row_number() OVER (ORDER BY i) - 1 AS k FROM p WHERE NOT history),
+s AS (SELECT 0 AS t, 0 AS gone_y, 0 AS gone_n, NULL::BIGINT AS took
+  UNION ALL SELECT j.t, gone_y + coalesce((c.kind = 1)::INT, 0), gone_n + coalesce((c.kind = 0)::INT, 0), c.conv_id
+  FROM s JOIN jobs j ON j.t = s.t + 1 LEFT JOIN LATERAL (SELECT * FROM (
+    SELECT 1 AS kind, conv_id, i FROM y WHERE k = gone_y UNION ALL SELECT 0, conv_id, i FROM n WHERE k = gone_n AND NOT j.need) ORDER BY i LIMIT 1) c ON true)
+SELECT slot::BIGINT AS slot, attempt::INT AS attempt, took AS prefix FROM s JOIN jobs USING (t) WHERE took IS NOT NULL"""
+
+
+@query(_jobs_sql())
 def w7_jobs(spark, sf_dir):
     """Prefixes of conversations assigned to slots."""
     bounds, plan = C.prefix_bounds(_conversations(spark, sf_dir), BUDGET), P.recipes(100, SEED)
-    jobs = P.assign(plan, P.eligible(bounds, len(plan) * P.RETRY_LIMIT, "conv_id", F.col("last_index") > 0))
-    return spark.createDataFrame([(j["slot"], j["attempt"], j["prefix"]) for j in jobs] or [(0, 0, "")], "slot int, attempt int, prefix string")
+    prefixes = P.eligible(bounds, len(plan) * P.RETRY_LIMIT, "conv_id", F.col("last_index") > 0)
+    return P.assign(P.jobs_of(spark, plan), prefixes).select("slot", "attempt", F.col("id").alias("prefix"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
