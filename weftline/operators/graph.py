@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.plans.staging import staged
+from weftline.plans.staging import discard, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,6 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         if _mark(after) == _mark(now):
             rooted = after.select(F.col("a").alias("node"), F.col("b").alias("root"))
             return rooted.unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        discard(edges.sparkSession, now)
         now = after
 
 
