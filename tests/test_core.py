@@ -1,6 +1,7 @@
 """Conversations, text functions, masking and strict JSON."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +64,26 @@ def test_normal_forms_are_idempotent_and_fold_width(spark):
     assert [r.x for r in again] == got
 
 
+def test_plain_characters_normalise_in_the_jvm(spark):
+    import unicodedata
+
+    plain = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000 and not re.search(T.SPECIAL.replace("\\x{9fff}", "\u9fff"), chr(c))]
+    assert len(plain) > 20000 and all(unicodedata.normalize("NFKC", c) == c for c in plain)
+    assert all(c.casefold() == c.lower() or c == "ß" for c in plain)
+    texts = ["".join(plain[i : i + 500]) for i in range(0, len(plain), 500)] + ["ＡＢＣ ｄ", "ﬁne ΣΑΣ\u3000x", "e\u0301 É", " a\x1c\x1fb\u00a0c\u0085 ", "İI", None, "", "…½"]
+    df = spark.createDataFrame([(t, [t, "ＡＢ", None]) for t in texts], "t string, a array<string>")
+    got = df.select(T.normal(F.col("t")).alias("n"), T.normal_all(F.col("a")).alias("a")).collect()
+    forms = [None if t is None else T.normal_form(t) for t in texts]
+    assert [r.n for r in got] == forms and [r.a for r in got] == [[f, "ab", None] for f in forms]
+
+
+def test_full_width_texts_share_their_keys(spark):
+    text = "ABC def " * 20
+    wide = "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in text)
+    keys = C.exact_keys(C.assemble(turns(spark, [(1, 0, "user", text), (2, 0, "user", wide)]))).collect()
+    assert len({(r.kind, r.key) for r in keys}) == 2 and len(keys) == 4
+
+
 def test_shared_documents_connect_different_questions(spark):
     article = "字" * 90
     rows = [(i, 0, "user", f"阅读下文\n{article}\n问题：{q}") for i, q in enumerate(("甲", "乙"))]

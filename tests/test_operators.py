@@ -279,6 +279,9 @@ def test_codes_are_single_tokens_and_a_bijection(spark):
     names = spark.createDataFrame([("q", str(i)) for i in range(255)], "question string, candidate string")
     task = P.tasks(names, P.codebook(P.letter_codes(spark), 255, 1)).collect()
     assert len({r.code for r in task}) == len(task) == 255
+    with pytest.raises(PySparkException):
+        more = names.unionByName(spark.createDataFrame([("q", "one more")], names.schema))
+        P.tasks(more, P.codebook(P.letter_codes(spark), 255, 1)).collect()
 
 
 def test_predict_plugs_in_a_scorer(spark):

@@ -7,11 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: White space of the fast path; the exact path is the UDF.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
+#: A character outside this set may change under NFKC, or fold in another way than to lower case (ß apart).
+SPECIAL = r"[^\x00-\x7f¡§©«¬®°±¶·»¿À-ÿ–—‘-„†-•€、。一-\x{9fff}]"
+
 # Patterns of contact data and credentials, by flag, in order.
 FLAGS = {
     "credential_pattern": r"\b(?:sk-[A-Za-z0-9_-]{8,}|gh[pousr]_[A-Za-z0-9_]{12,})\b",
@@ -43,11 +46,28 @@ def normalize_name(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else folded_form(t))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def normalize_each(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda ts: None if ts is None else [None if t is None else normal_form(t) for t in ts])
+
+
 def normalize_plain(text: Column) -> Column:
-    """The same on text that NFKC leaves alone and whose only special folding is ß; stays in the JVM."""
+    """The normal form of text without SPECIAL characters; stays in the JVM."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "ß", "ss"), SPACE, " "))
 
 
+def normal(text: Column) -> Column:
+    """normalize(); only texts with SPECIAL characters leave the JVM. Null for null."""
+    special = text.rlike(SPECIAL)
+    return F.when(~special, normalize_plain(text)).otherwise(normalize(F.when(special, text)))
+
+
+def normal_all(texts: Column) -> Column:
+    """normal() of each text of an array, nulls kept."""
+    special = F.exists(texts, lambda t: F.coalesce(t.rlike(SPECIAL), F.lit(False)))
+    return F.when(~special, F.transform(texts, normalize_plain)).otherwise(normalize_each(F.when(special, texts)))
+
+
 def canonical_strings(values: Column) -> Column:
     """Canonical JSON of an array of strings."""
     return F.to_json(values)
@@ -94,8 +114,8 @@ def document_anchor(text: Column) -> Column:
         .when(asks, before)
         .otherwise("")
     )
-    plain = normalize_plain(article)
-    return F.when(F.length(plain) >= ANCHOR_CHARS, plain)
+    found = normal(article)
+    return F.when(F.length(found) >= ANCHOR_CHARS, found)
 
 
 def shingles(text: Column, n: int = 5) -> Column:

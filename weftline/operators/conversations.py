@@ -67,7 +67,7 @@ def exact_keys(conversations: DataFrame) -> DataFrame:
 
     users: all user texts; first: a substantial first one; document: a document that a user text quotes.
     """
-    users = F.transform(user_texts(F.col("messages")), T.normalize_plain)
+    users = T.normal_all(user_texts(F.col("messages")))
     with_users = conversations.select("conv_id", "messages", users.alias("users")).where(F.size("users") > 0)
     first = F.when(F.length(F.get("users", F.lit(0))) >= T.ANCHOR_CHARS, T.digest(F.get("users", F.lit(0))))
     whole = with_users.select("conv_id", F.lit("users").alias("kind"), T.digest(T.canonical_strings(F.col("users"))).alias("key"))

@@ -20,6 +20,8 @@ LANGUAGES = ("zh", "en", "ja")
 FORMS = ("direct", "constraint", "scenario_action", "negative_or_exception", "history_dependent")
 OPTION_STYLES = ("short", "phrase", "sentence", "structured")
 RETRY_LIMIT = 3
+#: Codes that a codebook may have.
+MAX_CODES = 100_000
 
 
 def _number(low: int, high: int, *key: object) -> int:
@@ -149,10 +151,14 @@ def tasks(candidates: DataFrame, codes: DataFrame) -> DataFrame:
     """question, candidate, code: names in code point order, each with the code of its place in the question's own sample.
 
     candidates: question, candidate. The place is the name's rank; the codebook's order is turned by the question's seed.
+    A question with more candidates than there are codes is an error when the result is read.
     """
     size = codes.count()
+    if size > MAX_CODES:
+        raise ValueError("a codebook is broadcast; it can't have so many codes")
     ranked = candidates.groupBy("question").agg(F.array_sort(F.collect_set("candidate")).alias("c"))
     turned = F.pmod(F.conv(F.substring(F.sha2(F.col("question").cast("string"), 256), 1, 8), 16, 10).cast("long"), F.lit(size))
-    each = ranked.select("question", turned.alias("turn"), F.posexplode("c").alias("place", "candidate"))
+    fits = F.assert_true(F.size("c") <= size, "more candidates than codes").isNull()
+    each = ranked.where(fits).select("question", turned.alias("turn"), F.posexplode("c").alias("place", "candidate"))
     at = each.withColumn("position", F.pmod(F.col("turn") + F.col("place"), F.lit(size)).cast("int"))
     return at.join(F.broadcast(codes), "position").select("question", "candidate", "code")

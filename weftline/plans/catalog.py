@@ -132,8 +132,8 @@ def p9_history(spark, sf_dir):
 
 @query(f"WITH {DOCS} SELECT doc_id, sha256(norm) AS norm_sha256, length(norm)::BIGINT AS norm_chars FROM docs")
 def f4_normalize(spark, sf_dir):
-    """The exact form (NFKC and case folding), by the vectorised UDF."""
-    n = _documents(spark, sf_dir).select("doc_id", T.normalize(F.col("text")).alias("n"))
+    """The exact form (NFKC and case folding)."""
+    n = _documents(spark, sf_dir).select("doc_id", T.normal(F.col("text")).alias("n"))
     return n.select("doc_id", T.digest(F.col("n")).alias("norm_sha256"), F.length("n").cast("long").alias("norm_chars"))
 
 
@@ -215,7 +215,7 @@ def f11_strict_json(spark, sf_dir):
 
 @query(f"WITH {DOCS}, s AS (SELECT DISTINCT doc_id, substr(norm, i, 5) AS g FROM docs, unnest(range(1, length(norm) - 3)) AS r(i) WHERE length(norm) >= 5) SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id UNION ALL SELECT doc_id, 1 FROM docs WHERE length(norm) < 5")
 def f13_shingles(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", F.size(T.shingles(T.normalize_plain(F.col("text")))).cast("long").alias("n_shingles"))
+    return _documents(spark, sf_dir).select("doc_id", F.size(T.shingles(T.normal(F.col("text")))).cast("long").alias("n_shingles"))
 
 
 @query(
@@ -267,20 +267,20 @@ SELECT l AS "left", r AS "right", round(c / (x.n + y.n - c), 9) AS jaccard FROM
 )
 def j3_jaccard_join(spark, sf_dir):
     """Also AG13: the prefixes are ordered by document frequency."""
-    sets = _documents(spark, sf_dir).select("doc_id", T.shingles(T.normalize_plain(F.col("text"))).alias("tokens"))
+    sets = _documents(spark, sf_dir).select("doc_id", T.shingles(T.normal(F.col("text"))).alias("tokens"))
     return J.threshold_join(sets, 85, node="doc_id").withColumn("jaccard", F.round("jaccard", 9))
 
 
 @query()
 def j2_lsh_join(spark, sf_dir):
     """MinHash bands with exact verification: a subset of j3_jaccard_join."""
-    sets = _documents(spark, sf_dir).select("doc_id", T.shingles(T.normalize_plain(F.col("text"))).alias("tokens"))
+    sets = _documents(spark, sf_dir).select("doc_id", T.shingles(T.normal(F.col("text"))).alias("tokens"))
     return J.lsh_join(sets, 85, node="doc_id").withColumn("jaccard", F.round("jaccard", 9))
 
 
 def _keyed(spark, sf_dir):
     """Each document under the digest of its text and, if it has 80 characters, that of its first line, normalised."""
-    n, first = T.normalize_plain(F.col("text")), T.normalize_plain(F.substring_index("text", "\n", 1))
+    n, first = T.normal(F.col("text")), T.normal(F.substring_index("text", "\n", 1))
     keys = F.array(T.digest(n), F.when(F.length(first) >= T.ANCHOR_CHARS, T.digest(F.concat(F.lit("first:"), first))))
     return _documents(spark, sf_dir).select(F.col("doc_id").alias("node"), F.explode(F.array_compact(keys)).alias("key"))
 
@@ -354,7 +354,7 @@ def g5_two_phase(spark, sf_dir):
     docs = _documents(spark, sf_dir).join(marks, "doc_id", "left").withColumn("explored", F.coalesce(F.col("_q") == 0, F.lit(False)))
 
     def near(firsts):
-        return J.threshold_join(firsts.select("doc_id", T.shingles(T.normalize_plain(F.col("text"))).alias("tokens")), 85, node="doc_id")
+        return J.threshold_join(firsts.select("doc_id", T.shingles(T.normal(F.col("text"))).alias("tokens")), 85, node="doc_id")
 
     order = (F.desc("explored"), "source", "doc_id")
     members = G.two_phase(docs, G.key_edges(_keyed(spark, sf_dir)), near, order, "doc_id")
@@ -364,7 +364,7 @@ def g5_two_phase(spark, sf_dir):
 @query(f"WITH RECURSIVE {ROOTS}, v AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS kept FROM docs WHERE length(norm) >= 80) SELECT kept, count(*) AS views FROM v GROUP BY kept HAVING count(*) > 1")
 def g7_view_dedup(spark, sf_dir):
     """Also P10: views of 80 normalised characters at least; equal ones leave the first."""
-    n = _documents(spark, sf_dir).select("doc_id", T.normalize_plain(F.col("text")).alias("n")).where(F.length("n") >= 80)
+    n = _documents(spark, sf_dir).select("doc_id", T.normal(F.col("text")).alias("n")).where(F.length("n") >= 80)
     return n.groupBy(T.digest(F.col("n"))).agg(F.min("doc_id").alias("kept"), F.count("*").alias("views")).where("views > 1").select("kept", "views")
 
 
@@ -377,7 +377,7 @@ def g8_views(spark, sf_dir):
     views = F.concat(
         F.array(F.struct(F.lit("all").alias("view"), F.array_join("u", "\n").alias("t"))), F.transform("u", lambda t: F.struct(F.lit("turn").alias("view"), t.alias("t")))
     )
-    each = m.select("conv_id", F.explode(views).alias("v")).select("conv_id", "v.view", T.normalize_plain(F.col("v.t")).alias("t"))
+    each = m.select("conv_id", F.explode(views).alias("v")).select("conv_id", "v.view", T.normal(F.col("v.t")).alias("t"))
     return each.where(F.length("t") >= 80).select("conv_id", "view", T.digest(F.col("t")).alias("sha256"))
 
 
@@ -455,7 +455,7 @@ def ag1_source_counters(spark, sf_dir):
 @query(f"WITH {DOCS}, x AS (SELECT norm, count(*) AS n, count(DISTINCT source) AS s FROM docs GROUP BY norm) SELECT count(*) AS groups, (sum(n) - count(*))::BIGINT AS duplicates, count(*) FILTER (WHERE s > 1) AS cross_source FROM x")
 def ag2_duplicates(spark, sf_dir):
     """Also AG3: groups that span several files."""
-    n = _documents(spark, sf_dir).select("source", T.digest(T.normalize_plain(F.col("text"))).alias("k"))
+    n = _documents(spark, sf_dir).select("source", T.digest(T.normal(F.col("text"))).alias("k"))
     g = n.groupBy("k").agg(F.count("*").alias("n"), F.countDistinct("source").alias("s"))
     return g.agg(F.count("*").alias("groups"), (F.sum("n") - F.count("*")).alias("duplicates"), F.count_if(F.col("s") > 1).alias("cross_source"))
 
@@ -504,7 +504,7 @@ def ag12_path_metrics(spark, sf_dir):
 @query(f"WITH {DOCS}, t AS (SELECT DISTINCT doc_id, unnest(string_split(norm, ' ')) AS t FROM docs), f AS (SELECT t, count(*) AS df FROM t GROUP BY t) SELECT df, count(*) AS tokens FROM f GROUP BY df")
 def ag13_token_frequency(spark, sf_dir):
     """How many tokens have each document frequency."""
-    t = _documents(spark, sf_dir).select(F.explode(F.array_distinct(F.split(T.normalize_plain(F.col("text")), " "))).alias("t"))
+    t = _documents(spark, sf_dir).select(F.explode(F.array_distinct(F.split(T.normal(F.col("text")), " "))).alias("t"))
     return t.groupBy("t").agg(F.count("*").alias("df")).groupBy("df").agg(F.count("*").alias("tokens"))
 
 
