@@ -98,8 +98,7 @@ FROM o
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rows = toxicity.sample(docs, labels, ~toxicity.held_out(F.col("doc_id"), 0))
-    chain = toxicity.train([t for t, _ in rows], [y for _, y in rows])
+    chain = toxicity.train(toxicity.sample(docs, labels, ~toxicity.held_out(F.col("doc_id"), 0)))
     scored = toxicity.score(docs, chain)
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id"), 0).alias("held_out"), "score", "predicted")
 
