@@ -6,11 +6,14 @@ path) that the rules have; no other expression could equal a rule. Expressions m
 SHA-256, then the full digest confirms. The longest rule wins; of two equally long ones that with more path; of equal
 rules with both actions, block.
 
-Up to `broadcast_rules` rules (counted, not assumed) are broadcast, one lookup per shape: one pass over the URLs without
-a shuffle, so hot hosts cost nothing. Beyond it, the distinct (host, path) pairs are exploded and shuffle-joined.
+Up to `broadcast_rules` rules of up to LOOKUP_SHAPES shapes (counted, not assumed) are broadcast, one lookup per shape: one
+pass over the URLs without a shuffle, so hot hosts cost nothing. Beyond that, the distinct (host, path) pairs are exploded
+and shuffle-joined, short expressions that many URLs share with copies of the rules; both ways give the same verdicts.
 
 Defined results: a null URL and one without `://` have empty host and path, fit no rule and get the default verdict;
-an empty rule list gives everyone the default; repeated rows are judged alike; rules with nulls are ignored.
+an empty rule list gives everyone the default; repeated rows are judged alike; rules with nulls, and such with neither host
+nor path, are ignored; very long hosts, paths and rules are compared whole; an empty table gives an empty result; all other
+columns stay, whatever their names, but for host, path, rule and verdict, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +27,10 @@ from pyspark.sql import functions as F
 BROADCAST_RULES = 100_000
 #: With more (labels, path length) shapes than this, the exploded form is used.
 LOOKUP_SHAPES = 64
+#: With more shapes than this, every prefix of a path is an expression.
+BROADCAST_SHAPES = 10_000
+#: Copies of a rule that the URLs are dealt to.
+SALTS = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hex digits of the digest that make the join key.
 PREFIX = 8
@@ -39,7 +46,7 @@ def path_of(url: Column) -> Column:
 
 def _prepared(rules: DataFrame) -> DataFrame:
     """Distinct rules with their shape and digest."""
-    plain = rules.select("host", "path", "action").na.drop()
+    plain = rules.select("host", "path", "action").na.drop().where((F.col("host") != "") | (F.col("path") != ""))
     one = plain.groupBy("host", "path").agg(F.max(F.col("action") == "block").alias("block"))
     text = F.concat("host", "path")
     return one.select(
@@ -70,13 +77,15 @@ def filter_urls(
     """pages plus host, path, rule and verdict; columns of these names are replaced."""
     mine = ["host", "path", "rule", "verdict"]
     others = [c for c in pages.columns if c not in mine]
-    parsed = pages.select(*others, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    # the page's own columns travel packed, so that none can clash with those of the joins
+    row = F.struct(*others) if others else F.struct(F.lit(None).alias("_"))
+    parsed = pages.select(row.alias("_row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     table = _prepared(rules)
     shapes = table.groupBy("labels", "path_length").count().limit(LOOKUP_SHAPES + 1).collect()
     few = len(shapes) <= LOOKUP_SHAPES and table.limit(broadcast_rules + 1).count() <= broadcast_rules
-    found = _looked_up(parsed, table, shapes) if few else _joined(parsed, table)
+    found = _looked_up(parsed, table, shapes) if few else _joined(parsed, table, table.select("labels", "path_length").distinct())
     return found.select(
-        *others,
+        *([F.col("_row").getField(c).alias(c) for c in others]),
         "host",
         "path",
         F.col("_best.rule").alias("rule"),
@@ -101,15 +110,23 @@ def _looked_up(parsed: DataFrame, table: DataFrame, shapes: list) -> DataFrame:
     return parsed.withColumn("_best", reduce(lambda a, b: F.greatest(a, b), best) if len(best) > 1 else best[0])
 
 
-def _joined(parsed: DataFrame, table: DataFrame) -> DataFrame:
+def _joined(parsed: DataFrame, table: DataFrame, shapes: DataFrame) -> DataFrame:
     keys = parsed.select("host", "path").distinct()
-    # at most 127 rows, one for each number of labels that a host name can have
-    shapes = table.groupBy("labels").agg(F.collect_set("path_length").alias("lengths"))
     suffixes = keys.withColumn("labels", F.explode(F.sequence(F.lit(1), F.size(F.split("host", r"\.")))))
-    exploded = suffixes.join(F.broadcast(shapes.where("labels <= 127")), "labels").withColumn("path_length", F.explode("lengths"))
+    if shapes.limit(BROADCAST_SHAPES + 1).count() <= BROADCAST_SHAPES:
+        lengths = shapes.groupBy("labels").agg(F.collect_list("path_length").alias("lengths"))
+        exploded = suffixes.join(F.broadcast(lengths), "labels").withColumn("path_length", F.explode("lengths"))
+    else:
+        # rules of so many shapes: every prefix of the path
+        exploded = suffixes.withColumn("path_length", F.explode(F.sequence(F.lit(0), F.length("path"))))
     exploded = exploded.withColumn("digest", _expression(F.col("labels"), F.col("path_length"))).where("digest IS NOT NULL")
-    left = exploded.select("host", "path", "digest", F.substring("digest", 1, PREFIX).alias("_k"))
-    right = table.select(F.col("digest").alias("_full"), F.substring("digest", 1, PREFIX).alias("_k"), _rank().alias("of"))
-    hits = left.join(right, "_k").where(F.col("digest") == F.col("_full"))
+    # many URLs share short expressions such as `com/`: each of them meets one of SALTS copies of the rules
+    salt = F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")
+    left = exploded.select("host", "path", "digest", F.substring("digest", 1, PREFIX).alias("_k"), salt.alias("_s"))
+    right = table.select(F.col("digest").alias("_full"), F.substring("digest", 1, PREFIX).alias("_k"), _rank().alias("of"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+    hits = left.join(right, ["_k", "_s"]).where(F.col("digest") == F.col("_full"))
     best = hits.groupBy("host", "path").agg(F.max("of").alias("_best"))
-    return parsed.join(best, ["host", "path"], "left")
+    # URLs without host and path fit no rule; as one key of the join they might be very many
+    some = (F.col("host") != "") | (F.col("path") != "")
+    none = parsed.where(~some).withColumn("_best", F.lit(None).cast(best.schema["_best"].dataType))
+    return parsed.where(some).join(best, ["host", "path"], "left").select(*parsed.columns, "_best").unionByName(none)
