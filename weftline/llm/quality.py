@@ -123,9 +123,11 @@ def judge(df: DataFrame, text: str = "text", fails: Callable[[Column], Column] =
     such documents are then counted with the windows themselves, so a hash collision changes nothing.
     """
     mine = ["cleaned_text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    others = [c for c in df.columns if c not in mine and not c.startswith("_w_")]
+    others = [c for c in df.columns if c not in mine]
     body = F.coalesce(F.col(text), F.lit(""))
-    step = df.select(*others, body.alias("_w_text")).withColumn("_w", words(F.col("_w_text")))
+    # the input's columns travel packed, so that none can clash with those of the steps
+    row = F.struct(*others) if others else F.struct(F.lit(None).alias("_"))
+    step = df.select(row.alias("_w_row"), body.alias("_w_text")).withColumn("_w", words(F.col("_w_text")))
     step = step.withColumn("_w_lines", F.split("_w_text", "\n"))
     step = step.withColumn(
         "_w_win",
@@ -140,7 +142,7 @@ def judge(df: DataFrame, text: str = "text", fails: Callable[[Column], Column] =
         "cleaned_text", F.array_join(F.filter("_w_lines", lambda x: ~fails(x)), "\n")
     )
     step = step.select(
-        *others,
+        "_w_row",
         "cleaned_text",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.regexp_replace("_w_text", SPACES, "")).cast("long").alias("word_chars"),
@@ -153,7 +155,7 @@ def judge(df: DataFrame, text: str = "text", fails: Callable[[Column], Column] =
     )
     step = step.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     kept = ~F.col("base_failed") & (F.length("cleaned_text") * 100 >= F.col("_w_length") * MIN_KEPT_PERCENT)
-    return step.withColumn("kept", kept).select(*others, *mine)
+    return step.withColumn("kept", kept).select(*[F.col("_w_row").getField(c).alias(c) for c in others], *mine)
 
 
 def clean(df: DataFrame, text: str = "text") -> DataFrame:
