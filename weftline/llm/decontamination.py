@@ -7,12 +7,14 @@ misses at most n - ceil(t * n) of its shingles, hence holds one of the b. So the
 length of document, and exact containment then decides.
 
 Documents are scanned once; a window is hashed only where all its words occur in the items. The sketches of a block of
-items (bounded by `block_shingles`, which is checked by counting) are broadcast; more items are searched in further
-blocks. Nothing is shuffled, so hot sources, copies and common passages cost only their own rows.
+items (bounded by `block_shingles`, which is checked by counting; a longer single item is a block of its own) are
+broadcast; more items are searched in further blocks, each a pass over the texts. Nothing is shuffled or written, so hot
+sources, copies and common passages cost only their own rows.
 
 Defined results: items and documents are compared on words `[^\\x20\\x09-\\x0D]+` in lower case; an item of fewer than
 five words is one shingle of all its words; items and documents without words match nothing; equal items match alike,
-each by its id; repeated documents give repeated rows; empty tables give no matches.
+each by its id, in the items' order of ids; repeated documents give repeated rows; very long texts are searched whole;
+empty tables give no matches; clean returns all columns of docs, whatever their names, the others read only id and text.
 """
 
 from __future__ import annotations
@@ -21,14 +23,14 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.plans.staging import staged
-
 WIDTH = 5
 THRESHOLD = 0.8
 #: Shingles of the items in one broadcast block, at most (about 200 bytes each on an executor).
@@ -123,58 +125,78 @@ _HITS = "array<struct<item_id: bigint, n_shingles: bigint, n_shared: bigint, con
 _HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("n_shingles", pa.int64()), ("n_shared", pa.int64()), ("containment", pa.float64())]))
 
 
-def _search(docs: DataFrame, items: list[tuple[int, str]], text: str, threshold: float) -> DataFrame:
-    """docs plus `_hits`."""
+def _search(docs: DataFrame, items: list[tuple[int, str]], threshold: float) -> DataFrame:
+    """Rows (key, text) to key and hits, where there are any."""
     shared = docs.sparkSession.sparkContext.broadcast((items, threshold))
-    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Sketches(*shared.value)
         for b in batches:
-            hits = [index.find(t) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, _HIT)], [*names, "_hits"])
+            hits = [index.find(t) for t in b.column(1).to_pylist()]
+            at = pa.array([i for i, h in enumerate(hits) if h], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([h for h in hits if h], _HIT)], ["key", "hits"])
+
+    return docs.mapInArrow(run, f"key {dict(docs.dtypes)['key']}, hits {_HITS}")
+
 
-    names = docs.columns
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", _hits {_HITS}"
-    return docs.mapInArrow(run, schema)
+def _blocks(items: DataFrame, item_id: str = "item_id", item_text: str = "text", block_shingles: int = BLOCK_SHINGLES) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about block_shingles words; one block at a time is on the driver."""
+    n_words = F.size(F.split(F.coalesce(F.col(item_text), F.lit("")), r"[\x20\x09-\x0D]+"))
+    table = items.select(F.col(item_id).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
+    total = items.agg(F.sum(n_words)).first()[0] or 0
+    blocks = max(1, math.ceil(total / block_shingles))
+    block = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
+    for b in range(blocks):
+        yield sorted(((r["i"], r["t"]) for r in table.where(block == b).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
 def search(
     docs: DataFrame,
     items: DataFrame,
+    key: str = "doc_id",
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
     threshold: float = THRESHOLD,
     block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
-    """docs, all columns and rows, plus `_hits`: the items that each document contains (an empty list where none)."""
-    n_words = F.size(F.split(F.coalesce(F.col(item_text), F.lit("")), r"[\x20\x09-\x0D]+"))
-    table = items.select(F.col(item_id).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
-    total = items.agg(F.sum(n_words)).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_shingles))
-    block = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
-
-    def rows(b: int) -> list[tuple[int, str]]:
-        return sorted(((r["i"], r["t"]) for r in table.where(block == b).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-
-    plain = docs.drop("_hits")
-    if blocks == 1:
-        return _search(plain, rows(0), text, threshold)
-    found = plain.withColumn("_all", F.expr(f"cast(array() as {_HITS})"))
-    for b in range(blocks):
-        found = _search(found, rows(b), text, threshold)
-        found = staged(found.withColumn("_all", F.concat("_all", "_hits")).drop("_hits"), "hits")
-    return found.withColumnRenamed("_all", "_hits")
+    """key, hits: of each row of docs and block of items with a match, the key column and the items that the text contains."""
+    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return reduce(DataFrame.unionByName, (_search(slim, rows, threshold) for rows in _blocks(items, item_id, item_text, block_shingles)))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """doc_id, item_id, n_shingles, n_shared, containment: a row for each document and item that it contains."""
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = search(slim, items, "text", **options)
-    return found.select("doc_id", F.explode("_hits").alias("h")).select("doc_id", "h.*")
+    found = search(docs, items, doc_id, text, **options)
+    return found.select(F.col("key").alias("doc_id"), F.explode("hits").alias("h")).select("doc_id", "h.*")
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
-    """docs without those that contain an item; all their columns."""
-    return search(docs, items, text, **options).where(F.size("_hits") == 0).drop("_hits")
+    """docs without those that contain an item; all their columns.
+
+    One block of items: rows travel packed through its pass. More: the texts with a match are found by each block, and rows
+    with such texts leave by the texts' 128-bit hashes; only those hashes are shuffled, no text is written.
+    """
+    blocks = list(islice(_blocks(items, **{k: v for k, v in options.items() if k != "threshold"}), 2))
+    threshold = options.get("threshold", THRESHOLD)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    if len(blocks) == 1:
+        kept = _without(packed, blocks[0], threshold)
+    else:
+        key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+        keyed = packed.withColumn("_key", key)
+        found = search(keyed, items, "_key", "text", **options).select(F.col("key").alias("_found")).distinct()
+        kept = keyed.join(found, F.col("_key") == F.col("_found"), "left_anti")
+    return kept.select([F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def _without(docs: DataFrame, items: list[tuple[int, str]], threshold: float) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((items, threshold))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Sketches(*shared.value)
+        for b in batches:
+            at = [i for i, t in enumerate(b.column(1).to_pylist()) if not index.find(t)]
+            yield b.take(pa.array(at, pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)
