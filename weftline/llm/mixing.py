@@ -10,10 +10,12 @@
 
 Running sums (tokens in a source, slots of a source) are two-level: sums within buckets of bounded size, then sums over
 bucket totals, so that no source, however hot, is ordered in one task. Only totals per source come to the driver: their
-number is that of the registered sources, not of rows.
+number is that of the registered sources, not of rows, and more than MAX_SOURCES of them are an error.
 
 Defined results: null text has no tokens; documents without tokens are never taken (taken 0); null is a source of its
-own, last in order; repeated rows are documents of their own; an empty table gives an empty schedule.
+own, last in order; repeated rows are documents of their own; ties of the shuffle are ordered by id and size; very long
+texts are counted whole and span many blocks; an empty table gives an empty schedule; of docs only id, text and source are
+read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ BUCKET_ROWS = 20_000
 CHUNK_SLOTS = 1 << 14
 #: Tokens in a block, unless given.
 BLOCK_TOKENS = 2048
+#: Sources that a mix may have: a table of them is broadcast, and each slot looks its source up in a list.
+MAX_SOURCES = 10_000
 GOLDEN = 0.6180339887498949
 
 
@@ -67,17 +71,20 @@ def sized(docs: DataFrame, text: str, source: str, doc_id: str, seed: int) -> Da
 
 
 def targets(sizes: DataFrame, share: Fraction, weights: tuple[int, ...], max_repeats: int) -> DataFrame:
-    """source, source_size, target and cumulative bounds [low, high) of the schedule's points; one row per source."""
-    rows = sizes.groupBy("source").agg(F.sum("size").alias("n")).collect()
+    """source, source_size, target, wanted (the target in whole words) and cumulative bounds [low, high) of the schedule's points; one row per source."""
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("n"))
+    rows = totals.limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: is the source column a registry's?")
     rows = sorted(rows, key=lambda r: (r["source"] is None, r["source"] or ""))  # str order is by code point
     ns = [int(r["n"]) for r in rows]
     ws = [Fraction(weights[i % len(weights)]) for i in range(len(rows))]
     filled = water_fill(ns, ws, share * sum(ns), Fraction(max_repeats)) if sum(ns) else [Fraction(0)] * len(rows)
     whole, at, out = sum(filled) or Fraction(1), Fraction(0), []
     for i, (r, n, t) in enumerate(zip(rows, ns, filled, strict=True)):
-        out.append((i, r["source"], n, float(t), float(at / whole), float((at + t) / whole)))
+        out.append((i, r["source"], n, float(t), int(t + Fraction(1, 2)), float(at / whole), float((at + t) / whole)))
         at += t
-    schema = "sid int, source string, source_size long, target double, low double, high double"
+    schema = "sid int, source string, source_size long, target double, wanted long, low double, high double"
     return sizes.sparkSession.createDataFrame(out, schema)
 
 
@@ -110,7 +117,7 @@ def schedule(spark: SparkSession, plan: list, block_tokens: int) -> DataFrame:
     offsets = per_chunk.select("sid", "chunk", before.alias("before"))
     ranked = slots.withColumn("local", local).join(offsets, ["sid", "chunk"])
     ranked = ranked.select("slot", "sid", (F.col("before") + F.col("local")).cast("long").alias("rank"))
-    wanted = [(r["sid"], needed_slots(r["source_size"], round(r["target"]), block_tokens)) for r in plan]
+    wanted = [(r["sid"], needed_slots(r["source_size"], r["wanted"], block_tokens)) for r in plan]
     wanted = spark.createDataFrame(wanted, "sid int, needed long")
     have = per_chunk.groupBy("sid").agg(F.sum("count").alias("have"))
     short = F.broadcast(wanted).join(have, "sid", "left").withColumn("have", F.coalesce("have", F.lit(0)))
@@ -157,13 +164,13 @@ def mix(
     # identical rows share their key: a row id tells them apart in the order
     placed = staged(placed.withColumn("row", F.monotonically_increasing_id()), "streams")
     pieces = _pieces(placed, block_tokens)
-    of = F.broadcast(spark.createDataFrame([tuple(r) for r in plan], table.schema).select("sid", "source_size", "target"))
+    of = F.broadcast(spark.createDataFrame([tuple(r) for r in plan], table.schema).select("sid", "source_size", "wanted"))
     slots = schedule(spark, plan, block_tokens).join(of, "sid")
     blocks = F.ceil(F.col("source_size") / block_tokens)
     slots = slots.where(blocks > 0).withColumn("block", F.col("rank") % blocks).withColumn("pass", F.floor(F.col("rank") / blocks))
     # what the source has given before this slot; the slot that passes the target reads a part, later ones nothing
     given = F.col("pass") * F.col("source_size") + F.col("block") * block_tokens
-    slots = slots.withColumn("allowed", F.round("target").cast("long") - given).where((F.col("pass") < max_repeats) & (F.col("allowed") > 0))
+    slots = slots.withColumn("allowed", F.col("wanted") - given).where((F.col("pass") < max_repeats) & (F.col("allowed") > 0))
     read = slots.select("slot", "sid", "block", "allowed").join(pieces, ["sid", "block"])
     tokens = F.least("tokens", F.greatest(F.col("allowed") - F.col("in_block"), F.lit(0)))
     order = read.select("slot", "row", "doc_id", "offset", tokens.alias("tokens")).where("tokens > 0")
