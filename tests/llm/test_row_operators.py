@@ -178,6 +178,10 @@ def test_sketches_cover_the_threshold():
 def test_clean_keeps_rows_and_columns(spark):
     df = docs(spark, ["a b c d e f", "x y z", None]).withColumn("_hits", F.lit(1)).withColumn("item_id", F.lit(2))
     bench = spark.createDataFrame([(1, "A b c d e")], "item_id long, text string")
+    for block in (decontamination.BLOCK_SHINGLES, 4):
+        named = df.withColumn("_hits", F.lit(1)).withColumn("row", F.lit(2)).withColumn("_key", F.lit(3))
+        again = decontamination.clean(named, bench, block_shingles=block)
+        assert again.columns == named.columns and again.select("doc_id", "text").collect() == decontamination.clean(df, bench).select("doc_id", "text").collect()
     got = decontamination.clean(df, bench)
     assert sorted(r.doc_id for r in got.collect()) == [1, 2] and "item_id" in got.columns
     assert decontamination.clean(df, bench.limit(0)).count() == 3
@@ -196,6 +200,76 @@ def test_templates_are_recognised(licence_model):
     assert all(m.probabilities(x).argmax() == len(m.families) for x in licenses.NEARBY)
 
 
+def test_rules_with_very_long_hosts(spark):
+    # 130 labels, by the lookup, by shapes, and by every prefix
+    host = ".".join(["a"] * 130)
+    rules = spark.createDataFrame([(host, "/x", "block"), ("a", "/x/y", "allow"), ("a", "/x", "block"), ("", "", "block")], "host string, path string, action string")
+    pages = spark.createDataFrame([(1, f"http://b.{host}/x", 7, "s"), (2, f"http://{host}/x/y", 8, "t"), (3, "http://c/x", 9, "u"), (4, None, 0, "v"), (5, "http://b.a/x/y?z", 1, "w")], "page_id long, url string, n int, _best string")
+    expected = {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
+    for limit, shapes in ((urls.BROADCAST_RULES, urls.BROADCAST_SHAPES), (0, urls.BROADCAST_SHAPES), (0, 0)):
+        urls.BROADCAST_SHAPES, old = shapes, urls.BROADCAST_SHAPES
+        got = urls.filter_urls(pages, rules, broadcast_rules=limit).collect()
+        urls.BROADCAST_SHAPES = old
+        assert {r.page_id: r.verdict for r in got} == expected and {r["_best"] for r in got} == set("stuvw")
+
+
+def test_verdicts_keep_the_columns_of_a_table(spark):
+    df = spark.createDataFrame([(1, PROSE, ["x"], "y", 5)], "doc_id long, text string, _w array<string>, _w_text string, kept int")
+    row = quality.judge(df).first()
+    assert row["_w"] == ["x"] and row["_w_text"] == "y" and row.kept is True and row.text == PROSE
+    assert quality.clean(df).first()["_w"] == ["x"]
+
+
+# Notices of licences that training hasn't seen, and wording that several families share.
+UNSEEN = (
+    "Licensed under the Eclipse Public License 2.0.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0.",
+    "Licensed under the Microsoft Public License.",
+    "Licensed under the EUPL, Version 1.2 or later.",
+    "Licensed under the European Union Public Licence.",
+    "SPDX-License-Identifier: EPL-2.0",
+    "SPDX-License-Identifier: MS-PL",
+    "Released under the Zope Public License 2.1.",
+    "This work is licensed under a Creative Commons",
+    "Released under the terms of the",
+    "SPDX-License-Identifier:",
+)
+
+
+def test_unseen_licences_are_unknown(spark, licence_model):
+    m = licence_model
+    assert all(m.probabilities(x).argmax() == len(m.families) for x in UNSEEN), [x for x in UNSEEN if m.probabilities(x).argmax() < len(m.families)]
+    wrapped = "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License."
+    got = licenses.scan(docs(spark, [*UNSEEN, wrapped]), m).collect()
+    assert [(r.doc_id, r.family, r.confirmed) for r in got] == [(len(UNSEEN), "cc-by-sa", True)]
+
+
+def test_templates_are_compared_in_order(spark, licence_model):
+    good = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    ws = good.split()
+    parts = [ws[i : i + 3] for i in range(0, len(ws), 3)]
+    turned = " ".join(" ".join(p) for p in parts[::-1])
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, [good, turned]), licence_model).collect()}
+    assert got[0].confirmed and got[0].family == "mit" and (1 not in got or not got[1].confirmed)
+
+
+def test_prefilter_loses_nothing(spark, licence_model):
+    # every text with a family by the plain model is a row of the scan
+    rng = random.Random(13)
+    some = [w for ts in licenses.TEMPLATES.values() for t in ts for w in t.split()]
+    texts = [" ".join(rng.choice(some) for _ in range(rng.randint(2, 30))) for _ in range(250)]
+    texts += [" ".join(t.split()[: rng.randint(2, 9)]) for ts in licenses.TEMPLATES.values() for t in ts]
+    got = {r.doc_id for r in licenses.scan(docs(spark, texts), licence_model).collect()}
+    m = licence_model
+    expected = {i for i, t in enumerate(texts) if (p := m.probabilities(t))[:-1].max() > p[-1]}
+    assert got == expected and len(expected) > 20
+
+
+def test_scan_ignores_other_columns(spark, licence_model):
+    df = spark.createDataFrame([(1, "Released under the MIT License.", 5, "x", 0.5)], "doc_id long, text string, line int, t string, u double")
+    assert [(r.doc_id, r.line, r.family) for r in licenses.scan(df, licence_model).collect()] == [(1, 0, "mit")]
+
+
 def test_scan_computes_the_model(spark, licence_model):
     lines = ["Released under the MIT License.", "Nothing here.", "", "This work is licensed under the GNU General Public License, version 3.", "foo Licensed under CC BY-NC 4.0. bar", "mit license", "SPDX-License-Identifier: Apache-2.0"]
     df = docs(spark, ["\n".join(lines), None, "", "plain words", lines[0], lines[0]])

@@ -1,19 +1,23 @@
 """License scans: a trained paragraph classifier, an unknown class, and templates that confirm what it says.
 
 Model: softmax regression over the presence of word uni- and bigrams, made sparse by an L1 penalty. It is fitted on the
-driver from the templates below (spans of them, with words dropped and surrounded by others) and from lines of a bounded
-sample of documents (`sample_docs`, the first by a hash of their ids) as the unknown class; its temperature and the
-unknown class's offset are calibrated on a held-out third of these examples.
-
-Scan: built-in expressions only. Lines of a paragraph are judged as one where a bigram of a template spans the break, so a
-wrapped notice is seen whole, and notices on lines of their own stay apart. Longer units are judged in overlapping
+driver from the templates below (spans of them, with words dropped and surrounded by others). The unknown class has
+notices of other licences, the same sentences about licences with made-up names, spans that templates of two families
+share, and lines of a bounded sample of documents (SAMPLE_DOCS, the first by a hash of their ids) without those that
+hold a template's wording. Temperature and the unknown class's offset are calibrated on a held-out third of the examples;
+other licences are held out whole, so the unknown class is calibrated on licences that it hasn't seen.
+
+Scan: built-in expressions only. A paragraph is a line and those after it, while a bigram of a template spans the break, so
+a wrapped notice is seen whole, and notices on lines of their own stay apart. Longer paragraphs are judged in overlapping
 windows; of windows that find the same place, the best counts. A document or window is looked at closely only where it
 has a word without which no family can reach the unknown class, so nothing is lost. Scores are sums over the features
-present, probabilities their softmax. A prediction is confirmed where enough of the bigrams in the best stretch stand in a
-template of that family. No shuffle; a document with many licence notices gives many rows.
+present, probabilities their softmax. A prediction is confirmed where enough of the bigrams in the best stretch stand, in
+order, in one template of that family. No shuffle; a document with many licence notices gives many rows.
 
-Defined results: null and empty texts have no lines that count; repeated documents and lines give repeated rows; an
-empty table gives an empty result. Words are runs of letters, digits, dots and hyphens, in lower case.
+Defined results: null and empty texts have no lines that count; repeated documents and lines give repeated rows; of
+families and templates that tie, the first by name and order counts; very long texts and lines are judged in windows, whole;
+of docs only the id and the text are read, whatever other columns are called; an empty table gives an empty result. Words
+are runs of letters, digits, dots and hyphens, in lower case.
 """
 
 from __future__ import annotations
@@ -100,6 +104,41 @@ NEARBY = (
     "Fishing licenses are granted by the state without restriction.",
     "The work is dedicated to the author of the following conditions.",
 )
+# Notices of licences that have no family here, by name.
+OTHERS: dict[str, tuple[str, ...]] = {
+    "affero": ("This program is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"),
+    "artistic": ("This library is distributed under the terms of the Artistic License 2.0.", "SPDX-License-Identifier: Artistic-2.0"),
+    "boost": ("Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"),
+    "cddl": ("The contents of this file are subject to the terms of the Common Development and Distribution License.", "SPDX-License-Identifier: CDDL-1.0"),
+    "cpl": ("This program is made available under the terms of the Common Public License v1.0.", "Licensed under the Common Public License 1.0."),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "Released under the ISC License."),
+    "odbl": ("This data is made available under the Open Database License.", "Licensed under ODbL 1.0."),
+    "ofl": ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "SPDX-License-Identifier: OFL-1.1"),
+    "postgresql": ("Released under the PostgreSQL License, a liberal open source license.", "Licensed under the PostgreSQL License."),
+    "python": ("Licensed under the Python Software Foundation License Version 2.", "SPDX-License-Identifier: PSF-2.0"),
+    "qpl": ("This file may be distributed under the terms of the Q Public License as defined by Trolltech.", "Licensed under the Q Public License 1.0."),
+    "reciprocal": ("Released under the Reciprocal Public License 1.5.", "This work is licensed under the Reciprocal Public License, version 1.5."),
+    "wtfpl": ("Released under the terms of the Do What You Want To Public License, Version 2.", "SPDX-License-Identifier: WTFPL"),
+    "zlib": ("This software is provided as-is, without any express or implied warranty, under the zlib license.", "SPDX-License-Identifier: Zlib"),
+}
+# Sentences that made-up names fill.
+SENTENCES = (
+    "Licensed under the {x} Public License, version {n}.",
+    "Licensed under the {x} Public License {n}.",
+    "Licensed under the {x} License, Version {n}.",
+    "This work is licensed under the {x} Public License.",
+    "This work is licensed under a {x} license.",
+    "Released under the {x} License.",
+    "Released under the {x} {n} or later.",
+    "This project is licensed under the {x} license.",
+    "This file is subject to the terms of the {x} Public License, v. {n}.",
+    "Use of this source code is governed by the {x} license that can be found in the LICENSE file.",
+    "Available under the {x} License for any use.",
+    "Licensed under {x} {n}.",
+    "SPDX-License-Identifier: {x}-{n}",
+    "You may redistribute this program under the terms of the {x} General License as published by {x}.",
+    "Permission is granted to any person to use this software under {x} terms.",
+)
 UNKNOWN = "unknown"
 SAMPLE_DOCS = 400
 LINES_PER_DOC = 10
@@ -135,32 +174,64 @@ class Model:
         return e / e.sum()
 
 
-def _examples(lines: list[str], rng: np.random.Generator) -> tuple[list[set[str]], list[int]]:
+def _examples(lines: list[str], rng: np.random.Generator) -> tuple[list[set[str]], list[int], list[bool]]:
+    """Features, labels and whether held out for calibration, of the examples."""
     families = sorted(TEMPLATES)
+    unknown = len(families)
     filler = [w for line in lines for w in tokens(line)] or ["text"]
-    sets, labels = [], []
+    sets, labels, held = [], [], []
+
+    def add(ws: list[str], label: int, apart: bool) -> None:
+        around = [filler[int(i)] for i in rng.integers(0, len(filler), int(rng.integers(0, 9)))]
+        sets.append(set(grams(around[::2] + ws + around[1::2])))
+        labels.append(label)
+        held.append(apart)
+
+    whole = {f: [" ".join(["", *tokens(t), ""]) for t in TEMPLATES[f]] for f in families}
     for label, family in enumerate(families):
         for template in TEMPLATES[family]:
             ws = tokens(template)
             for copy in range(24):
                 n = len(ws) if copy % 3 == 0 else max(min(4, len(ws)), int(len(ws) * rng.uniform(0.6, 1)))
                 at = int(rng.integers(0, len(ws) - n + 1))
-                own = [w for w in ws[at : at + n] if n < 6 or rng.random() > 0.05]
-                around = [filler[int(i)] for i in rng.integers(0, len(filler), int(rng.integers(0, 9)))]
-                sets.append(set(grams(around[::2] + own + around[1::2])))
-                labels.append(label)
+                span = ws[at : at + n]
+                # wording that another family's template has too says nothing
+                shared = any(" ".join(["", *span, ""]) in t for f in families if f != family for t in whole[f])
+                add([w for w in span if n < 6 or rng.random() > 0.05], unknown if shared else label, rng.random() < 1 / 3)
+            for copy in range(3):
+                n = int(rng.integers(2, max(3, len(ws))))
+                span = ws[: n] if copy else ws[-n:]
+                if any(" ".join(["", *span, ""]) in t for f in families if f != family for t in whole[f]):
+                    add(span, unknown, rng.random() < 1 / 3)
+    for k, name in enumerate(sorted(OTHERS)):
+        for line in OTHERS[name]:
+            for _ in range(8):
+                add(tokens(line), unknown, k % 3 == 0)
+    for sentence in SENTENCES:
+        for copy in range(16):
+            name = " ".join(filler[int(i)] for i in rng.integers(0, len(filler), 1 + copy % 2))
+            add(tokens(sentence.format(x=name, n=f"{int(rng.integers(1, 5))}.{int(rng.integers(0, 3))}")), unknown, copy % 3 == 0)
     for line in [*lines, *(x for x in NEARBY for _ in range(6))]:
         sets.append(set(grams(tokens(line))))
-        labels.append(len(families))
-    return sets, labels
+        labels.append(unknown)
+        held.append(rng.random() < 1 / 3)
+    return sets, labels, held
+
+
+def _wording(ws: list[str]) -> float:
+    """The largest share of a template's bigrams that the words have."""
+    have = set(zip(ws, ws[1:], strict=False))
+    pairs = [list(zip(t, t[1:], strict=False)) for ts in TEMPLATES.values() for t in map(tokens, ts)]
+    return max(sum(p in have for p in own) / max(2, len(own)) for own in pairs)
 
 
 def train(lines: list[str], l1: float = 2e-4, steps: int = 400, seed: int = 7) -> Model:
     """Proximal gradient descent on the softmax loss; lines are examples of the unknown class."""
     rng = np.random.default_rng(seed)
     families = sorted(TEMPLATES)
-    plain = [x for x in lines if not re.search(r"(?i)licen[cs]e|copyright|spdx", x)]
-    sets, labels = _examples(plain, rng)
+    plain = [x for x in lines if _wording(tokens(x)) < CONFIRM / 2]
+    sets, labels, held = _examples(plain, rng)
+    held = np.array(held)
     features = sorted({g for ts in TEMPLATES.values() for t in ts for g in grams(tokens(t))})
     place = {f: i for i, f in enumerate(features)}
     x = np.zeros((len(sets), len(features) + 1))
@@ -168,9 +239,9 @@ def train(lines: list[str], l1: float = 2e-4, steps: int = 400, seed: int = 7) -
         x[row, [place[g] for g in s if g in place]] = 1
     x[:, -1] = 1
     y = np.eye(len(families) + 1)[labels]
-    held = rng.random(len(sets)) < 1 / 3
-    # each class counts alike, so that the sample's size doesn't set the unknown class's share
+    # each family counts alike, and the unknown class as much as all of them
     mass = 1 / (y[~held].sum(0) + 1)
+    mass[-1] *= len(families)
     w, v, rate = np.zeros((x.shape[1], y.shape[1])), np.zeros((x.shape[1], y.shape[1])), 2.0
     xt, yt = x[~held], y[~held]
     sample = (yt @ mass)[:, None] / (yt @ mass).sum()
@@ -184,13 +255,15 @@ def train(lines: list[str], l1: float = 2e-4, steps: int = 400, seed: int = 7) -
     w -= w[:, -1:]
     # calibration on the held-out part: temperature and the unknown class's offset with the least loss
     z, yh = x[held] @ w, y[held]
+    weight = (yh @ (1 / (yh.sum(0) + 1) * np.append(np.ones(len(families)), len(families))))
+    weight /= weight.sum()
     best = (np.inf, 1.0, 0.0)
     for t in (0.25, 0.5, 0.75, 1.0, 1.5):
         for b in np.arange(-2.0, 4.1, 0.5):
             s = z / t
             s[:, -1] += b
             top = s.max(1)
-            loss = float((np.log(np.exp(s - top[:, None]).sum(1)) + top - (s * yh).sum(1)).mean())
+            loss = float((weight * (np.log(np.exp(s - top[:, None]).sum(1)) + top - (s * yh).sum(1))).sum())
             best = min(best, (loss, t, float(b)))
     _, t, b = best
     kept = np.flatnonzero(np.abs(w[:-1, :-1]).max(1) > 0)
@@ -307,14 +380,15 @@ def _places(model: Model, ws: Column, pairs: Column) -> Column:
 
 def _verdict(model: Model, pairs: Column, at: Column, start: Column, size: Column) -> Column:
     logits = [_dot(_literal([float(x) for x in model.weights[:, j]]), float(model.offsets[j]), at) for j in range(len(model.families))]
-    templates = F.array(*[_literal(sorted({g for t in TEMPLATES[f] for g in grams(tokens(t)) if " " in g})) for f in model.families])
+    templates = F.array(*[F.array(*[_literal(list(dict.fromkeys(g for g in grams(tokens(t)) if " " in g))) for t in TEMPLATES[f]]) for f in model.families])
 
     def of(z: Column) -> Column:
         top = F.array_max(z)
         best = F.array_position(z, top).cast("int")
         total = F.aggregate(z, F.exp(-top), lambda s, x: s + F.exp(x - F.array_max(z)))
         family, probability = F.element_at(_literal(model.families), best), 1 / total
-        stretch = F.when(top > 0, _let(F.element_at(templates, best), lambda t: _stretch(pairs, t)))
+        # of the family's templates, the one with the largest overlap
+        stretch = F.when(top > 0, F.array_max(F.transform(F.element_at(templates, best), lambda t: _stretch(pairs, t))))
         return _let(stretch, lambda s: F.struct(top.alias("logit"), probability.alias("probability"), family.alias("family"), start.alias("start"), *place(s)))
 
     def place(s: Column) -> list[Column]:
@@ -326,7 +400,7 @@ def _verdict(model: Model, pairs: Column, at: Column, start: Column, size: Colum
 
 
 def _stretch(pairs: Column, template: Column) -> Column:
-    """overlap, from, to: the best stretch of bigrams, and the share of shared distinct ones in it (of two bigrams at least).
+    """overlap, from, to: the best stretch of bigrams, and the share of it (of two bigrams at least) that the template has in this order.
 
     Each shared bigram outweighs gaps of a few others; the stretch with the greatest sum is the best.
     """
@@ -344,8 +418,10 @@ def _stretch(pairs: Column, template: Column) -> Column:
 
     def of(r: Column) -> Column:
         span = r["to"] - r["from"] + 1
-        shared = F.size(F.array_intersect(F.slice(pairs, r["from"] + 1, span), template))
-        return F.struct((shared / F.greatest(span, F.lit(2))).alias("overlap"), r["from"], r["to"])
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("last"))
+        follows = lambda s, at: F.when(at > s["last"], F.struct((s["n"] + 1).alias("n"), at.alias("last"))).otherwise(s)
+        ordered = F.aggregate(F.slice(pairs, r["from"] + 1, span), start, lambda s, p: _let(F.array_position(template, p).cast("int"), lambda at: follows(s, at)))
+        return F.struct((ordered["n"] / F.greatest(span, F.lit(2))).alias("overlap"), r["from"], r["to"])
 
     return _let(F.aggregate(pairs, zero, step), of)
 
