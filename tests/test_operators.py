@@ -7,6 +7,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from weftline.functions import questions as Q
+from weftline.operators import conversations as C
 from weftline.operators import decisions as D
 from weftline.operators import graph as G
 from weftline.operators import metrics as M
@@ -82,7 +84,12 @@ def test_greedy_quota_leaves_unreached_groups(spark):
     df = spark.createDataFrame(rows, "source string, group long, node long, position long")
     got = {(r.source, r.node) for r in S.greedy_quota(df, [("A", 1), ("B", 1)]).collect()}
     assert got == {("A", 10), ("B", 12)}
-    assert S.shortfalls(df.limit(0), [("A", 1)]) == {"A": 1}
+    short = S.shortfall_table(df, [("A", 1), ("B", 3), ("C", 4)]).collect()
+    assert {tuple(r) for r in short} == {("B", 1), ("C", 4)}
+    S.shortfall_gate(df, [("A", 1)])
+    S.shortfall_gate(df, [("C", 4)], allowed=True)
+    with pytest.raises(ValueError):
+        S.shortfall_gate(df, [("C", 4)])
 
 
 def test_reservoir_keeps_the_larger_node_at_the_cut(spark):
@@ -156,11 +163,71 @@ def test_paths_dont_depend_on_order_and_cant_open_tokens(spark):
     assert len(got) == 2 and all("<" not in x for x in got)
 
 
-def test_drafts(spark):
-    c = "job string, type string, k int, candidates array<struct<name: string, description: string>>"
-    rows = [("ok", "choice", 2, [("a", "x"), ("b", "y")]), ("dup", "choice", 2, [("Ａ", "x"), ("a", "y")]), ("few", "choice", 3, [("a", "x"), ("b", "y")]), ("blank", "choice", 2, [("a", " "), ("b", "y")]), ("noul", "noul", 0, [])]
-    got = {r.job: r.reason for r in R.draft_errors(spark.createDataFrame(rows, c)).collect()}
-    assert got == {"ok": None, "dup": "duplicate_or_empty_candidate", "few": "candidate_count_mismatch", "blank": "duplicate_or_empty_candidate", "noul": None}
+STATE = {"messages": [{"role": "user", "content": "a cat sat"}]}
+
+
+def draft(criteria, kind="choice"):
+    q = {"type": kind, "instructions": "pick"} | ({"criteria": criteria} if kind == "choice" else {})
+    return {"questions": {"q": q}}
+
+
+@pytest.mark.parametrize(
+    ("value", "kind", "k", "reason"),
+    [
+        (draft({"a": "x", "b": "y"}), "choice", 2, None),
+        (draft(None, "noul"), "noul", 2, None),
+        (draft({"a": "x", "b": "y"}) | {"labels": 1}, "choice", 2, "one_question_required_no_labels"),
+        (draft({"a": "x"}), "choice", 1, "choice_size"),
+        (draft({"a": "x", "b": "y"}), "noul", 2, "invalid_instructions_or_type"),
+        (draft({"a": "x", "b": "y"}), "choice", 3, "candidate_count_mismatch"),
+        (draft({"Ａ": "x", "a": "y"}), "choice", 2, "duplicate_or_empty_candidate"),
+        (draft({"a": "x", "b": " X"}), "choice", 2, "duplicate_or_empty_candidate"),
+        (draft({"a": "x", "b": None}), "choice", 2, "duplicate_or_empty_candidate"),
+        (draft({"a": "x", "b": "y " * 300}), "choice", 2, "option_too_long"),
+    ],
+)
+def test_drafts(value, kind, k, reason):
+    assert Q.first(Q.draft_errors(value, STATE, kind, k)) == reason
+
+
+def test_draft_budgets():
+    value = draft({"a": "x x", "b": "y"})
+    assert Q.first(Q.draft_errors(value, STATE, "choice", 2, limits=Q.LIMITS | {"state": 1})) == "state_too_long"
+    assert Q.first(Q.draft_errors(value, STATE, "choice", 2, limits=Q.LIMITS | {"path": 3})) == "path_too_long"
+    assert Q.first(Q.draft_errors(value, STATE, "choice", 2, limits=Q.LIMITS | {"total": 9})) == "request_too_long"
+
+
+def test_review_fields():
+    checks = dict.fromkeys(Q.CHECKS, True)
+    good = {"decision": "accept", "checks": checks, "issues": [], "evidence": ["cat"]}
+    cases = [
+        ({}, None),
+        ({"score": 1}, "invalid_review_fields"),
+        ({"checks": checks | {"grounded": 1}}, "invalid_review_checks"),
+        ({"decision": "maybe"}, "invalid_review_decision"),
+        ({"issues": [3]}, "invalid_review_evidence"),
+        ({"evidence": []}, "review_evidence_not_in_state"),
+        ({"evidence": ["cat", "dog"]}, "review_evidence_not_in_state"),
+        ({"issues": ["x"]}, "inconsistent_review"),
+        ({"decision": "reject", "issues": ["x"]}, None),
+    ]
+    for change, reason in cases:
+        assert Q.first(Q.review_errors(good | change, ["a cat sat"])) == reason
+
+
+def test_prefixes_follow_their_conversations(spark):
+    p = spark.createDataFrame([(1, "g1", 5), (2, "g2", 50), (3, "g3", 5), (9, "g9", 1)], "conv_id long, group_id string, tokens int")
+    parents = spark.createDataFrame([(1, "g1", "train", "a"), (2, "g2", "train", "a"), (3, "g3", "test", "a")], "conv_id long, group_id string, split string, evaluation_slice string")
+    own = C.in_splits(p, parents, ("train",))
+    assert {r.conv_id for r in own.collect()} == {1, 2} and [r.conv_id for r in C.within_tokens(own, 9).collect()] == [1]
+    with pytest.raises(PySparkException):
+        C.in_splits(p.withColumn("group_id", F.lit("other")), parents, ("train",)).collect()
+
+
+def test_replayed_attempts(spark):
+    rows = [("a", 1, 503, "x"), ("a", 2, 200, "y"), ("a", 3, 200, "z"), ("b", 1, 429, None), ("b", 2, 503, None), ("b", 3, 200, "late"), ("c", 1, 404, "no"), ("c", 2, 200, "never")]
+    got = R.replayed(spark.createDataFrame(rows, "request string, attempt int, status int, body string"), 2).collect()
+    assert {(r.request, r.attempts, r.outcome, r.body) for r in got} == {("a", 2, "ok", "y"), ("b", 2, "transport_attempts_exhausted", None), ("c", 1, "http_error", None)}
 
 
 def test_reviews(spark):

@@ -42,7 +42,11 @@ def test_anchors_must_be_found(spark, corpus):
 def test_manifest(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"a")
     (tmp_path / "b.txt").write_bytes(b"b")
-    rows = [("a.txt", hashlib.sha256(b"a").hexdigest()), ("b.txt", "0"), ("c.txt", "0"), ("../a.txt", "0")]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.txt").write_bytes(b"other")
+    (tmp_path / "sub" / "x.partial").write_bytes(b"")
+    rows = [("a.txt", hashlib.sha256(b"a").hexdigest()), ("sub/a.txt", hashlib.sha256(b"other").hexdigest()), ("b.txt", "0"), ("c.txt", "0"), ("../a.txt", "0")]
+    assert {r.file for r in jsonl.manifest(spark, str(tmp_path)).collect()} == {"a.txt", "b.txt", "sub/a.txt"}
     got = {r.file: r.reason for r in jsonl.manifest_errors(spark, str(tmp_path), spark.createDataFrame(rows, "file string, sha256 string")).collect()}
     assert got == {"b.txt": "changed", "c.txt": "missing", "../a.txt": "unsafe_path"}
 

@@ -75,3 +75,19 @@ def exact_keys(conversations: DataFrame) -> DataFrame:
     each = with_users.select("conv_id", F.explode(user_texts(F.col("messages"))).alias("t"))
     documents = each.select("conv_id", F.lit("document").alias("kind"), T.digest(T.document_anchor(F.col("t"))).alias("key"))
     return whole.unionByName(firsts).unionByName(documents.where("key IS NOT NULL").distinct())
+
+
+def in_splits(prefixes: DataFrame, parents: DataFrame, splits: tuple[str, ...]) -> DataFrame:
+    """Prefixes (conv_id, group_id, ...) of conversations in the splits, with split and evaluation_slice of their parents.
+
+    Prefixes of other splits, or without a parent, are left out; another group than the parent's is an error when read.
+    """
+    own = parents.where(F.col("split").isin(*splits)).select("conv_id", F.col("group_id").alias("_group"), "split", "evaluation_slice")
+    joined = prefixes.join(own, "conv_id")
+    agree = F.assert_true(F.col("group_id") == F.col("_group"), "a prefix is in another group than its conversation").isNull()
+    return joined.where(agree).drop("_group")
+
+
+def within_tokens(prefixes: DataFrame, most: int, tokens: str = "tokens") -> DataFrame:
+    """Prefixes whose state has at most so many tokens."""
+    return prefixes.where(F.col(tokens) <= most)

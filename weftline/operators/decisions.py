@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions import text as T
+
 KINDS = ("choice", "noul", "score")
 TEMPERATURES = (1, 2, 4)
 
@@ -136,3 +138,42 @@ def predict(requests: DataFrame, scorer, temperature: float = 1.0) -> DataFrame:
         F.when(F.col("kind") == "score", score(F.col("p"))).alias("score"),
         F.when(F.col("kind") == "noul", noul(F.col("p"))).alias("p_true"),
     )
+
+
+def soft_replay(stored: DataFrame, questions: DataFrame, traces: DataFrame, n_traces: int) -> DataFrame:
+    """question, outcome of soft records (question, target: map of candidate to probability).
+
+    Each record is joined with its question and its traces' logits; its target is recomputed and compared. same,
+    unknown_question, missing_traces or soft_target_replay_mismatch.
+    """
+    target = variants(traces, (1,), (n_traces,)).select("question", F.struct(F.col("candidate").cast("string").alias("key"), F.col("p").alias("value")).alias("e"))
+    again = target.groupBy("question").agg(F.map_from_entries(F.array_sort(F.collect_list("e"))).alias("again"))
+    have = traces.groupBy("question").agg(F.countDistinct("trace").alias("n"))
+    joined = stored.join(questions.select("question", F.lit(True).alias("known")), "question", "left").join(have, "question", "left").join(again, "question", "left")
+    outcome = (
+        F.when(F.col("known").isNull(), "unknown_question")
+        .when(F.coalesce("n", F.lit(0)) < n_traces, "missing_traces")
+        .when(~same_distribution(F.col("target"), F.col("again"), 1e-11), "soft_target_replay_mismatch")
+        .otherwise("same")
+    )
+    return joined.select("question", outcome.alias("outcome"))
+
+
+#: Legal mass may pass 1 by rounding.
+MASS_LIMIT = 1.000001
+
+
+def trace_error() -> Column:
+    """Null for a trace that belongs to its question, else what doesn't agree.
+
+    Columns: base, trace (seeds follow from both), seed, input_sha256, question_sha256, mass, scored, candidates, mode,
+    verified (its answer's prefix was read back).
+    """
+    return (
+        F.when(F.col("seed") != T.trace_seed(F.col("base"), F.col("trace")), "seed")
+        .when(F.col("input_sha256") != F.col("question_sha256"), "input")
+        .when(~F.col("mass").between(0, MASS_LIMIT) | F.isnan("mass"), "mass")
+        .when(F.array_sort("scored") != F.array_sort("candidates"), "candidates")
+        .when((F.col("mode") != "raw_logits"), "mode")
+        .when(~F.col("verified"), "prefix")
+    )

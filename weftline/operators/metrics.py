@@ -81,3 +81,11 @@ def workflow(rows: DataFrame, threshold: float, p: str = "p", y: str = "y", late
         F.percentile(latency, 0.5).alias("p50"),
         F.percentile(latency, 0.95).alias("p95"),
     )
+
+
+def classwise_calibration(rows: DataFrame, bins: int = 10) -> DataFrame:
+    """class, n, ece of a table (class, p: its probability, y: whether it was right)."""
+    bin_ = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1))
+    binned = rows.groupBy("class", bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"))
+    gap = F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("mean_y"))) / F.sum("n")
+    return binned.groupBy("class").agg(F.sum("n").alias("n"), gap.alias("ece"))

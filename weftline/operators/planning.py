@@ -118,6 +118,30 @@ def request_id(job: Column, role: Column, body: Column) -> Column:
     return F.sha2(F.to_json(F.struct(body.alias("body"), job.alias("job"), role.alias("role"))), 256)
 
 
+# Temperatures by role.
+TEMPERATURES = {"generate": 0.7, "review": 0.0}
+
+
+def request_body(role: Column, text: Column, suffixes: dict[str, str]) -> Column:
+    """What is sent for a role: the canonical input, the role's suffix and temperature."""
+    by_role = lambda values: F.coalesce(*[F.when(role == r, F.lit(v)) for r, v in values.items()])
+    return F.struct(text.alias("input"), by_role(suffixes).alias("suffix"), by_role(TEMPERATURES).alias("temperature"))
+
+
+def bucket_of(k: Column) -> Column:
+    """The bucket of a choice by its number of candidates."""
+    return F.coalesce(*[F.when(k.between(low, high), F.lit(name)) for name, (low, high, _) in BUCKETS.items()])
+
+
+def codebook_audit(pool: DataFrame, book: DataFrame, encode, prefixes: tuple[str, ...], numbers: range) -> DataFrame:
+    """pool, selected, distinct_tokens, prefixes, numbers, number_tokens: the sizes of a codebook and of plain numbers instead."""
+    tokens = book.join(pool, "code").agg(F.count("*").cast("int").alias("selected"), F.countDistinct("token_id").cast("int").alias("distinct_tokens"))
+    plain = pool.sparkSession.range(numbers.start, numbers.stop).select(F.size(encode(F.lpad(F.col("id").cast("string"), 2, "0"))).alias("n"))
+    sizes = plain.agg(F.count("*").cast("int").alias("numbers"), F.sum("n").alias("number_tokens"))
+    # three tables of one row
+    return pool.agg(F.count("*").cast("int").alias("pool")).crossJoin(tokens).crossJoin(sizes).select("pool", "selected", "distinct_tokens", F.lit(len(prefixes)).alias("prefixes"), "numbers", "number_tokens")
+
+
 def letter_codes(spark: SparkSession) -> DataFrame:
     """code: the 676 pairs of capital letters."""
     i = F.col("id")

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
+from weftline.functions.questions import CHECKS
+from weftline.functions.strict_json import parse_strict
 
-# What a review checks, and the reasons of rejection that are reported by name.
-CHECKS = ("grounded", "task_faithful", "scope_clear", "distinct_options", "no_answer_hints", "no_padding", "language_matches")
+# The reasons of rejection that are reported by name.
 REASONS = (
     "one_question_required_no_labels",
     "invalid_instructions_or_type",
@@ -50,23 +51,6 @@ OTHER_TRACE_REASON = "collection_validation_failed"
 RETRYABLE = (408, 429)
 
 
-def draft_errors(drafts: DataFrame) -> DataFrame:
-    """job, reason of a table (job, type, k, candidates: array of name, description); null for a valid draft.
-
-    Names and descriptions must be unique after normalisation, and not empty.
-    """
-    each = drafts.select("job", "type", "k", F.size("candidates").alias("n"), F.explode_outer("candidates").alias("c"))
-    named = each.select("job", "type", "k", "n", T.normalize_name(F.col("c.name")).alias("name"), T.normalize_name(F.col("c.description")).alias("d"))
-    seen = named.groupBy("job", "type", "k", "n").agg(
-        F.countDistinct("name").alias("names"), F.countDistinct("d").alias("descriptions"), F.count_if(F.coalesce(F.col("name") == "", F.lit(True)) | F.coalesce(F.col("d") == "", F.lit(True))).alias("blank")
-    )
-    reason = F.when((F.col("type") == "choice") & (F.col("n") != F.col("k")), "candidate_count_mismatch").when(
-        (F.col("type") == "choice") & ((F.col("names") < F.col("n")) | (F.col("descriptions") < F.col("n")) | (F.col("blank") > 0)),
-        "duplicate_or_empty_candidate",
-    )
-    return seen.select("job", reason.alias("reason"))
-
-
 def grounded(evidence: Column, texts: Column) -> Column:
     """Every quote occurs within some single text."""
     return F.forall(evidence, lambda e: F.exists(texts, lambda t: F.contains(t, e)))
@@ -122,6 +106,75 @@ def differences(stored: DataFrame, recomputed: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("stored")).unionByName(b.exceptAll(a).withColumn("side", F.lit("recomputed")))
 
 
+def replayed(attempts: DataFrame, limit: int) -> DataFrame:
+    """request, attempts, outcome, body of logged attempts (request, attempt from 1, status, body), as a client makes them.
+
+    Attempts go on until one is answered or refused, up to the limit; what the log holds beyond that is never looked at.
+    """
+    state = status_class(F.col("status"))
+    made = attempts.where(F.col("attempt") <= limit).select("request", "attempt", state.alias("class"), "body")
+    last = made.groupBy("request").agg(
+        F.min(F.when(F.col("class") != "retry", F.struct("attempt", "class", "body"))).alias("end"), F.count("*").alias("made")
+    )
+    outcome = F.when(F.col("end.class") == "ok", "ok").when(F.col("end.class") == "halt", "http_error").otherwise("transport_attempts_exhausted")
+    body = F.when(F.col("end.class") == "ok", F.col("end.body"))
+    return last.select("request", F.coalesce(F.col("end.attempt").cast("long"), "made").alias("attempts"), outcome.alias("outcome"), body.alias("body"))
+
+
+def run_replay(results: DataFrame, attempts: DataFrame) -> DataFrame:
+    """request, outcome of stored results (request, record digest): each answer is read from its first good attempt again.
+
+    same, record_replay_mismatch, no_answer, or the reason for which the answer can't be read.
+    """
+    answers = first_ok(attempts).select("request", "body")
+    joined = results.join(answers, "request", "left").withColumn("r", parse_strict("body"))
+    outcome = (
+        F.when(F.col("body").isNull(), "no_answer")
+        .when(F.col("r.reason").isNotNull(), F.col("r.reason"))
+        .when(T.digest(F.col("r.json")) != F.col("record"), "record_replay_mismatch")
+        .otherwise("same")
+    )
+    return joined.select("request", outcome.alias("outcome"))
+
+
+def scan_counters(rows: DataFrame, by: str) -> DataFrame:
+    """by, records, invalid_records, valid_records, no_prefix, over_budget, credential_excluded, eligible.
+
+    rows: reason (null for valid records), fits, over, flagged; a valid record counts under the first rule that stops it.
+    """
+    ok = F.col("reason").isNull()
+    stop = F.when(~F.col("fits"), "no_prefix").when(F.col("over"), "over_budget").when(F.col("flagged"), "credential_excluded").otherwise("eligible")
+    marked = rows.select(by, ok.alias("ok"), F.when(ok, stop).alias("stop"))
+    stops = [F.count_if(F.col("stop") == s).alias(s) for s in ("no_prefix", "over_budget", "credential_excluded", "eligible")]
+    return marked.groupBy(by).agg(F.count("*").alias("records"), F.count_if(~F.col("ok")).alias("invalid_records"), F.count_if("ok").alias("valid_records"), *stops)
+
+
+def counts_by(rows: DataFrame, *columns: str) -> DataFrame:
+    """by, value, n: counts of the values of each column, in one pass."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("by"), F.col(c).cast("string").alias("value")) for c in columns])
+    return rows.select(F.explode(pairs).alias("p")).groupBy("p.by", "p.value").agg(F.count("*").alias("n"))
+
+
+def summary(totals: DataFrame, **tables: DataFrame) -> DataFrame:
+    """totals (one row) plus the number of rows of each table, and the marks that no build sets by itself."""
+    for name, rows in tables.items():
+        totals = totals.crossJoin(rows.agg(F.count("*").alias(name)))  # one row each
+    return totals.withColumn("soft_labels", F.lit(0)).withColumn("training_approved", F.lit(False))
+
+
+def usage(paths: Column, answers: Column, count) -> Column:
+    """input_tokens, longest, output_tokens of a request; count: tokens of a text."""
+    sizes = F.transform(paths, lambda p: count(p).cast("long"))
+    whole = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.struct(whole(sizes).alias("input_tokens"), F.array_max(sizes).alias("longest"), whole(F.transform(answers, lambda a: count(a).cast("long"))).alias("output_tokens"))
+
+
+def pool_records(rows: DataFrame, provenance: Column, *fields: str) -> DataFrame:
+    """rows plus provenance (a structure) and id: `pool_` and the digest of both, in canonical order."""
+    shaped = rows.withColumn("provenance", provenance)
+    return shaped.withColumn("id", F.concat(F.lit("pool_"), T.digest(F.to_json(F.struct(*sorted([*fields, "provenance"]))))))
+
+
 def make_record(rows: DataFrame, *fields: str) -> DataFrame:
     """rows plus id: `question_` and the digest of the canonical fields (in name order)."""
     body = F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"})

