@@ -42,9 +42,13 @@ def eligible_turns(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
 
     One window over a conversation's turns; a conversation is bounded by its budget, longer ones only lose turns.
     """
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    numbered = rows.withColumn("index", F.row_number().over(w) - 1).withColumn("running", F.sum(F.length("text")).over(w))
-    return numbered.where(F.col("running") <= budget).select("conv_id", "index", "role", "running")
+    return _within(rows, budget).select("conv_id", "index", "role", "running")
+
+
+def _within(rows: DataFrame, budget: int) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = rows.withColumn("index", F.count("*").over(w) - 1).withColumn("running", F.sum(F.length("text")).over(w))
+    return numbered.where(F.coalesce("running", F.lit(0)) <= budget)
 
 
 def prefix_bounds(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -55,9 +59,12 @@ def prefix_bounds(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 
 def prefixes(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """conv_id, prefix_index, messages (from the start to the turn, inclusive), prefix_sha256."""
+    """conv_id, prefix_index, messages (from the start to the turn, inclusive), prefix_sha256.
+
+    Turns beyond the budget leave before messages are put together, so no array is larger than the budget.
+    """
     bounds = prefix_bounds(rows, budget).select("conv_id", F.explode(F.array_distinct(F.array("first_index", "last_index"))).alias("prefix_index"))
-    cut = assemble(rows).join(bounds, "conv_id").withColumn("messages", F.slice("messages", F.lit(1), F.col("prefix_index") + 1))
+    cut = assemble(_within(rows, budget)).join(bounds, "conv_id").withColumn("messages", F.slice("messages", F.lit(1), F.col("prefix_index") + 1))
     body = F.to_json(F.transform("messages", lambda m: F.struct(m["content"].alias("content"), m["role"].alias("role"))))
     return cut.select("conv_id", F.col("prefix_index").cast("long").alias("prefix_index"), "messages", T.digest(body).alias("prefix_sha256"))
 

@@ -259,23 +259,27 @@ def f16_evidence(spark, sf_dir):
 # --- joins and groups ---
 
 
-@query(
-    f"""WITH {DOCS}, s AS (SELECT DISTINCT doc_id, substr(norm, i, 5) AS g FROM docs, unnest(range(1, length(norm) - 3)) AS r(i)),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-c AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT l AS "left", r AS "right", round(c / (x.n + y.n - c), 9) AS jaccard FROM c JOIN n x ON x.doc_id = l JOIN n y ON y.doc_id = r WHERE c * 100 >= (x.n + y.n - c) * 85"""
-)
+SETS = """s AS (SELECT DISTINCT doc_id, substr(norm, i, 5) AS g FROM docs, unnest(range(1, greatest(length(norm) - 3, 2))) AS r(i)),
+cl AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY l) AS rep, len(l) AS n FROM (SELECT doc_id, list(g ORDER BY g) AS l FROM s GROUP BY doc_id)),
+c AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS c FROM (SELECT s.* FROM s JOIN cl USING (doc_id) WHERE rep = doc_id) a JOIN (SELECT s.* FROM s JOIN cl USING (doc_id) WHERE rep = doc_id) b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+near AS (SELECT l, r, c / (x.n + y.n - c) AS jaccard FROM c JOIN cl x ON x.doc_id = l JOIN cl y ON y.doc_id = r WHERE c * 100 >= (x.n + y.n - c) * 85 UNION ALL SELECT rep, doc_id, 1.0 FROM cl WHERE rep <> doc_id)"""
+
+
+@query(f"""WITH {DOCS}, {SETS} SELECT l AS "left", r AS "right", round(jaccard, 9) AS jaccard FROM near""")
 def j3_jaccard_join(spark, sf_dir):
-    """Also AG13: the prefixes are ordered by document frequency."""
+    """Pairs between the first documents of equal sets, and these documents with their equals; prefixes by document frequency (AG13)."""
     sets = _documents(spark, sf_dir).select("doc_id", T.shingles(T.normal(F.col("text"))).alias("tokens"))
     return J.threshold_join(sets, 85, node="doc_id").withColumn("jaccard", F.round("jaccard", 9))
 
 
-@query()
+@query("SELECT 0 AS wrong, true AS found_nine_tenths")
 def j2_lsh_join(spark, sf_dir):
-    """MinHash bands with exact verification: a subset of j3_jaccard_join."""
+    """MinHash bands with exact verification against j3_jaccard_join: pairs that it lacks (none), and its recall."""
     sets = _documents(spark, sf_dir).select("doc_id", T.shingles(T.normal(F.col("text"))).alias("tokens"))
-    return J.lsh_join(sets, 85, node="doc_id").withColumn("jaccard", F.round("jaccard", 9))
+    exact = J.threshold_join(sets, 85, node="doc_id").select("left", "right", F.lit(1).alias("e"))
+    both = J.lsh_join(sets, 85, node="doc_id").select("left", "right", F.lit(1).alias("f")).join(exact, ["left", "right"], "full")
+    hits, all_ = F.count_if(F.col("e").isNotNull() & F.col("f").isNotNull()), F.count_if(F.col("e").isNotNull())
+    return both.agg(F.count_if(F.col("e").isNull()).cast("int").alias("wrong"), (hits >= 0.9 * all_).alias("found_nine_tenths"))
 
 
 def _keyed(spark, sf_dir):
@@ -347,7 +351,13 @@ def g6_representatives(spark, sf_dir):
     return S.first_of_group(_members(spark, sf_dir), "root", F.desc("explored"), "source", "doc_id").select("root", "doc_id", "source")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {ROOTS}, x AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY explored DESC, source, doc_id) AS f FROM g),
+{SETS.replace("FROM docs, unnest", "FROM (SELECT * FROM x WHERE f = 1), unnest").replace("AS r(i)", "AS q(i)")},
+u2 AS (SELECT doc_id AS a, root AS b FROM g UNION SELECT root, doc_id FROM g UNION SELECT l, r FROM near UNION SELECT r, l FROM near),
+r2 AS (SELECT a, b FROM u2 UNION SELECT r2.a, u2.b FROM r2 JOIN u2 ON r2.b = u2.a), m AS (SELECT a AS doc_id, min(b) AS root FROM r2 GROUP BY a)
+SELECT m.doc_id, m.root, bool_or(explored) OVER (PARTITION BY m.root) AS quarantine FROM m JOIN g USING (doc_id)"""
+)
 def g5_two_phase(spark, sf_dir):
     """Documents by root and quarantine after both phases: equal keys, then similar representatives in the same components."""
     marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("_q"))
@@ -389,7 +399,7 @@ def j8_exclusion(spark, sf_dir):
 
 @query("SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id)")
 def j4_prefix_parent(spark, sf_dir):
-    """Also J5: rows without a parent are dropped, others inherit its columns."""
+    """Rows without a parent are dropped, others inherit its columns."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return d.join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang", "quality", "toxic")
 
@@ -601,7 +611,18 @@ def w12_slot_batch(spark, sf_dir):
     return S.exclusive_batch(_jobs(spark, sf_dir)[0], 32, "slot", "job")
 
 
-@query()
+def _recipes_sql() -> str:
+    """Buckets in order with their numbers, dealt out in turns; what is drawn comes from digests."""
+    drawn = lambda n, name: f"('0x' || left(sha256('[{SEED},' || slot || ',\"' || {name} || '\"]'), 12))::BIGINT % {n}"
+    one = lambda name, values: f"{list(values)}[{drawn(len(values), repr(name))} + 1] AS {name}"
+    return f"""WITH q(bucket, place, low, high, n) AS (VALUES ('129-255', 0, 129, 255, 4), ('65-128', 1, 65, 128, 8), ('33-64', 2, 33, 64, 12), ('9-32', 3, 9, 32, 20), ('2-8', 4, 2, 8, 36), ('noul', 5, 2, 2, 20)),
+t AS (SELECT *, unnest(range(1, n + 1)) AS turn FROM q), s AS (SELECT *, row_number() OVER (ORDER BY turn, place) - 1 AS slot FROM t)
+SELECT slot::INT AS slot, CASE WHEN bucket = 'noul' THEN 'noul' ELSE 'choice' END AS type, bucket,
+CASE WHEN place = 0 AND turn <= 2 THEN 255 WHEN bucket = 'noul' THEN 2 ELSE low + {drawn("(high - low + 1)", "bucket")} END::INT AS k,
+{one("language", P.LANGUAGES)}, {one("form", P.FORMS)}, {one("option_style", P.OPTION_STYLES)} FROM s"""
+
+
+@query(_recipes_sql())
 def w9_recipes(spark, sf_dir):
     """The planned question slots."""
     schema = "slot int, type string, bucket string, k int, language string, form string, option_style string"
@@ -625,14 +646,14 @@ def st3_locators(spark, sf_dir):
 
 @query("SELECT event_id, array_to_string(list_sort(list_filter(json_keys(props), lambda k: k NOT IN ('page'))), ',') AS unknown_fields FROM events")
 def st5_fields(spark, sf_dir):
-    """Also ST4 and A10: fields that a schema doesn't have."""
+    """Also A10: fields that a schema doesn't have."""
     keys = F.json_object_keys("props")
     return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(F.array_except(keys, F.array(F.lit("page")))), ",").alias("unknown_fields"))
 
 
 @query("WITH a AS (SELECT doc_id, n_chars FROM documents), b AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents) SELECT *, 'stored' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'recomputed' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
 def st6_replay(spark, sf_dir):
-    """Also R7 and R8: rows on which a stored table and its recomputation differ."""
+    """Rows on which a stored table and its recomputation differ."""
     a = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     return R.differences(a, a.withColumn("n_chars", F.when(F.col("doc_id") % 10 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))))
 
@@ -648,7 +669,7 @@ def _logits(spark, sf_dir, n=6):
 
 @query(f"WITH {Z} SELECT vec_id, chr(96 + list_position(p, list_max(p))::INT) AS choice, round(list_max(p), 9) AS probability, round(list_sort(p, 'DESC')[1] - list_sort(p, 'DESC')[2], 9) AS margin FROM p")
 def m2_choice(spark, sf_dir):
-    """Also A6, A8, W13 and W14."""
+    """Also W13 and W14."""
     p = _logits(spark, sf_dir).select("vec_id", D.softmax(F.col("z")).alias("p"))
     c = p.select("vec_id", D.choice(F.col("p"), F.array(*map(F.lit, "abcdef"))).alias("c"))
     return c.select("vec_id", "c.choice", F.round("c.probability", 9).alias("probability"), F.round("c.margin", 9).alias("margin"))
@@ -731,7 +752,7 @@ def p11_requests(spark, sf_dir):
 
 @query("SELECT item_id, len(c) AS n_paths, sha256(array_to_string(list_transform(c, lambda k: 'STATE ' || replace(text, '<', '\\u003c') || 'QUESTION {\"instructions\":\"pick\",\"type\":\"choice\"}[\"a\",\"b\"]CANDIDATE ' || k || 'DECISION'), chr(10))) AS paths_sha256 FROM benchmark, (SELECT ['a', 'b'] AS c)")
 def m1_paths(spark, sf_dir):
-    """Also A7's order list: one text for each candidate, shared parts first."""
+    """One text for each candidate, shared parts first."""
     c = F.array(F.lit("a"), F.lit("b"))
     paths = D.paths(F.col("text"), F.lit("choice"), F.lit("pick"), F.to_json(c), c)
     return table(spark, sf_dir, "benchmark").select("item_id", F.size(paths).cast("long").alias("n_paths"), T.digest(F.array_join(paths, "\n")).alias("paths_sha256"))
@@ -739,7 +760,7 @@ def m1_paths(spark, sf_dir):
 
 @query("SELECT question, 'question_' || sha256('{\"candidate\":' || candidate || ',\"question\":' || question || '}') AS id FROM (SELECT DISTINCT vec_id // 4 AS question, 1 AS candidate FROM embeddings)")
 def r1_records(spark, sf_dir):
-    """Also P14 and R2: ids are digests of the canonical fields."""
+    """Ids are digests of the canonical fields."""
     q = _traces(spark, sf_dir).where("candidate = 1").select("question", F.lit(1).alias("candidate")).distinct()
     return R.make_record(q, "question", "candidate").select("question", "id")
 
@@ -775,7 +796,7 @@ def x1_coverage(spark, sf_dir):
 
 @query(f"WITH {Z} SELECT vec_id, round(1 + list_sum(list_transform(p, lambda v: v * ln(v))) / ln(6), 8) AS concentration, round(p[5] + p[6], 8) AS tail, round(p[2] + 4 * p[3] + 9 * p[4] + 16 * p[5] + 25 * p[6] - (p[2] + 2 * p[3] + 3 * p[4] + 4 * p[5] + 5 * p[6]) ** 2, 8) AS variance FROM p")
 def x2_concentration(spark, sf_dir):
-    """Also X3 and X7."""
+    """Also X3."""
     p = _logits(spark, sf_dir).select("vec_id", D.softmax(F.col("z")).alias("p"))
     c = F.col("p")
     return p.select("vec_id", F.round(M.entropy_concentration(c), 8).alias("concentration"), F.round(M.tail_mass(c, 4), 8).alias("tail"), F.round(M.score_variance(c), 8).alias("variance"))
@@ -812,7 +833,7 @@ def x8_slices(spark, sf_dir):
 
 @query("SELECT doc_id, lang, n_chars FROM documents")
 def sc2_jsonl(spark, sf_dir):
-    """Also SC7, SK1, SK8 and SK10: canonical lines written to the shared folder, read back with a schema."""
+    """Also SK1 and SK10: canonical lines written to the shared folder, read back with a schema."""
     path = f"{shared_dir(spark)}/weftline-lines-{uuid.uuid4().hex}"
     jsonl.write_lines(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), path)
     return jsonl.read(spark, path, "doc_id long, lang string, n_chars long, _corrupt string").select("doc_id", "lang", "n_chars")
@@ -857,7 +878,7 @@ def m15_request_ids(spark, sf_dir):
     "SELECT question, candidate, code FROM r JOIN b ON b.position = (turn + place) % 255"
 )
 def m11_task_codes(spark, sf_dir):
-    """Also A9, M12 (all pairs of letters) and W15."""
+    """Also A9 and W15."""
     e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("question"), F.col("vec_id").cast("string").alias("candidate"))
     return P.tasks(e, P.codebook(P.letter_codes(spark), 255, SEED))
 
