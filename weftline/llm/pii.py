@@ -7,15 +7,18 @@ phone numbers where a context word stands near, and secrets in assignments. Base
 Every search is linear in the text, also where the plain pattern isn't: addresses are found from their `@`, dotted
 numbers from maximal digit chains. Texts are handled whole in Arrow batches; no state is kept between rows.
 
-Defined results: null text counts as empty and has no spans; repeated rows give repeated rows; an empty table gives an
-empty result; masked text equals the text where nothing was found.
+Defined results: null text counts as empty and has no spans; repeated rows give repeated rows; very long texts are searched
+whole; of spans that start together the longest names what is masked; an empty table gives an empty result; masked text
+equals the text where nothing was found; only the columns asked for are read, whatever others are called.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -131,9 +134,12 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
             more.append(("card_short", start, end, 0.4 + 0.4 * _near(text, start, "card")))
     out += [("phone", *s, 0.8 + 0.15 * _near(text, s[0], "phone")) for s in phones(text)]
     more += [("iban", *s, 0.85 + 0.1 * _near(text, s[0], "iban")) for s in ibans(text)]
-    taken = [s[1:3] for s in out]
+    taken = sorted(s[1:3] for s in out)
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for m in _LOCAL_PHONE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b in taken):
+        # of the spans that start before this one ends, the furthest end decides
+        k = bisect_left(starts, m.end())
+        if not k or ends[k - 1] <= m.start():
             more.append(("phone_local", *m.span(), 0.3 + 0.4 * _near(text, m.start(), "phone")))
     return out + sorted([s for s in more if s[3] >= KEEP_SCORE] + secrets(text))
 
@@ -154,12 +160,12 @@ def _joined(spans: list[tuple]) -> str:
 
 _FOUND = pa.struct(
     [(f"n_{k}", pa.int64()) for k in BASE]
-    + [("base_sha256", pa.string()), ("spans", pa.string()), ("min_score", pa.float64()), ("masked", pa.string())]
+    + [("n_spans", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("min_score", pa.float64()), ("masked", pa.string())]
 )
 
 
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of keep, n_email, n_ip, n_card, n_phone, base_sha256, spans, min_score and, if asked, masked."""
+    """doc_id, the columns of keep, n_email, n_ip, n_card, n_phone, n_spans (of all kinds), base_sha256, spans, min_score and, if asked, masked."""
     fields = [f for f in _FOUND if with_text or f.name != "masked"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +176,7 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_tex
                 spans = find(body)
                 base = [s for s in spans if s[0] in BASE]
                 row = {f"n_{k}": sum(s[0] == k for s in base) for k in BASE}
+                row["n_spans"] = len(spans)
                 row["base_sha256"] = hashlib.sha256(_joined(base).encode()).hexdigest()
                 row["spans"] = _joined(spans)
                 row["min_score"] = min((s[3] for s in spans), default=None)

@@ -55,7 +55,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LE
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"), with_text=False)
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
