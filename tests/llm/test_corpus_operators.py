@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, language_model, mixing, near_duplicates, toxicity
+from weftline.llm import chat, language_model, mixing, near_duplicates, quality, toxicity
 
 import corpus_pipeline
 
@@ -454,3 +455,92 @@ def test_pipeline_decisions_take_effect(spark, tmp_path):
     assert "[EMAIL]" in kept.where("doc_id = 6").first().text
     final = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in final} == expected[-1] and all(r.taken <= 2 * r["size"] for r in final)
+
+
+def brute_line_fails(line):
+    import regex
+
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", line) if w]
+    if not words:
+        return False
+    gone = lambda pattern: len(line) - len(re.sub(pattern, "", line))
+    unquoted = re.sub("«[^«»]*»|»[^«»]*«|‹[^‹›]*›|›[^‹›]*‹", "", line)
+    marks = len(re.findall("[|»›·•]", unquoted))
+    own = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[|»›·•]", " ", line)) if w]
+    menu = marks >= 3 and marks * 8 > len(own)
+    phrases = gone("(?i)" + "|".join(quality.BOILERPLATE))
+    noise = max(gone(r"[#*$%&|<>{}~^\\]"), gone("!!")) * 100 > len(line) * 10
+    open_ = not regex.search(r"\p{P}[\x20\x09-\x0D]*$", line) and len(words) < 4
+    return menu or phrases and phrases * 100 >= len(line) * 10 or noise or open_
+
+
+def brute_clean(text):
+    """The text without its failing lines, or None."""
+    text = text or ""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    twice = Counter(windows)
+    repeated = {i + j for i, w in enumerate(windows) if twice[w] > 1 for j in range(5)}
+    out = "\n".join(x for x in text.split("\n") if not brute_line_fails(x))
+    bad = len(words) < 10 or 100 * len(repeated) > 20 * len(words) or 100 * len(out) < 50 * len(text)
+    return None if bad else out
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    rng = random.Random(77)
+    words = [f"word{i}" for i in range(500)]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+    bases = ["\n".join(line(rng.randint(6, 30)) for _ in range(rng.randint(1, 9))) for _ in range(25)]
+    items = [" ".join(rng.choice(words) for _ in range(n)) for n in (4, 12, 30)]
+    spoil = ["Home | News | Sport | Contact", "Read more", "Click here to accept cookies.", "$$$ %%% ###", "WOW!! NOW!!", "short", f"{line(40)} » {line(9)} » x » y", "« a » « b » « c » " + line(6)]
+    texts = [None, "", " \n ", "too short.", "same five words here now " * 9]
+    for k, b in enumerate(bases):
+        texts += [b, b + "\n" + rng.choice(spoil), b if k % 3 else b.lower()]
+        if k % 4 == 0:
+            texts.append(b + "\n" + rng.choice(items).capitalize() + " and so on it goes.")
+        if k % 5 == 0:
+            texts.append(line(12) + f"\nWrite to some{k}@mail.example.com or me@x.org.\n" + line(15))
+        if k % 6 == 0:
+            texts.append("\n".join(rng.choice(spoil) for _ in range(6)) + "\n" + line(5))
+        ws = b.split(" ")
+        ws[len(ws) // 2] = "changed"
+        texts.append(" ".join(ws))
+    rng.shuffle(texts)
+    rows = [(i, t, rng.choice(["en", None]), rng.choice(["a", "b", "b", None]), 0, "x") for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node string"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = [(d, t, source) for d, raw, _, source, *_ in rows if (t := brute_clean(raw)) is not None]
+    first = {(d, t): low for (d, t, _), (_, _, low) in zip(kept, sorted(brute_components([(d, t) for d, t, _ in kept], 5, 80)), strict=True)}
+    kept = [(d, t, s) for d, t, s in kept if first[d, t] == d]
+    def holds(t):
+        own = (t or "").lower().split()
+        for item in items:
+            wanted = shingles(item, 5)
+            k = len(next(iter(wanted)))
+            have = {tuple(w.encode() for w in own[i : i + k]) for i in range(len(own) - k + 1)}
+            if len(wanted & have) >= 0.8 * len(wanted):
+                return True
+        return False
+
+    kept = [(d, re.sub(r"[\w.]+@[\w.]+\w", "[EMAIL]", t), s) for d, t, s in kept if not holds(t)]
+    sizes = {d: len([w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]) for d, t, _ in kept}
+    by = Counter()
+    for d, _, s in kept:
+        by[s] += sizes[d]
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    left, open_, target = 1.5 * sum(by.values()), dict(zip(order, (3, 1, 2), strict=False)), {}
+    while open_:
+        over = [s for s in open_ if left * open_[s] / sum(open_.values()) > 2 * by[s]]
+        for s in over or list(open_):
+            target[s] = 2 * by[s] if over else left * open_[s] / sum(open_.values())
+        if not over:
+            break
+        for s in over:
+            left -= target[s]
+            del open_[s]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.size, r.source_size, round(r.target, 6)) for r in got) == sorted((d, sizes[d], by[s], round(target[s], 6)) for d, _, s in kept)
+    assert 20 < len(kept) < len(rows) and all(r.taken <= 2 * r["size"] for r in got)
+    for s in by:
+        assert abs(sum(r.taken for r in got if r.source == s) - target[s]) <= 1
