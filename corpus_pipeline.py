@@ -1,4 +1,13 @@
-"""The document pipeline: five stages, each over all that its predecessor kept."""
+"""The document pipeline: five stages, each over all that its predecessor kept.
+
+Quality rules leave out documents and lines; of each group of near duplicates one document stays; documents with a benchmark
+item leave; personal data is masked in all; the mix says how many words it takes of each document.
+
+Defined results: a null or empty text has no words and leaves in the first stage; very long texts pass whole; rows that
+repeat an id and a text leave but for one, rows that repeat an id with other texts are documents of their own; a null id is
+no reason to leave; null languages and sources stay, a null source is one of the mix; ties are decided by the smallest id;
+empty tables give empty results; columns besides COLUMNS are left out at the start, so none can clash.
+"""
 
 from __future__ import annotations
 
