@@ -50,11 +50,11 @@ CLUSTER_COUNT = 3
 #: Words with such a class, at most; they are broadcast.
 CLASS_WORDS = 4_000_000
 #: Words whose neighbours are counted together, about, and neighbours that a task holds (under 2^24).
-PART_WORDS, HELD_NEIGHBOURS = 50_000, 4_000_000
+PART_WORDS, HELD_NEIGHBOURS = 10_000, 2_000_000
 #: Bytes of text that are cut into words at a time, about; a longer text by itself.
 CHUNK_BYTES = 2_000_000
 #: Distinct words that a counting task holds before it passes them on.
-HELD_WORDS = 1_000_000
+HELD_WORDS = 400_000
 ADD = 0.5
 #: Classes of the end, and of all words without a class of their own choice.
 END_CLASS, REST_CLASS, FIXED = 0, 1, 2
