@@ -58,12 +58,14 @@ from weftline.plans.staging import discard, staged
 WIDTH, PERCENT = 4, 85
 #: Partitions tried for sets with too many empty subsets.
 SEEDS = 6
-#: A signature should have so many elements, where a band's sizes allow it.
-ELEMENTS = 4
+#: A signature should have so many elements on average, where a band's sizes allow it.
+ELEMENTS = 2
 #: Signatures that come together in a task, about, and how many a character of text gives, about.
 BUCKET_SIGNATURES, SIGNATURES_PER_CHAR = 500_000, 0.2
+#: Tasks that the signatures are dealt to, at most: a task holds what it reads.
+PARTITIONS = 20_000
 #: Sets and signatures that a task packs together; numbers of sets are of 16 bits.
-PACKED_SETS, PACKED_SIGNATURES = 1 << 16, 2_000_000
+PACKED_SETS, PACKED_SIGNATURES = 1 << 16, 1_000_000
 #: A signature that so many of them have travels apart.
 HOT = 64
 #: Members in a row of a bucket.
@@ -71,7 +73,7 @@ ROW_MEMBERS = 4096
 #: One bucket in so many guides the first round.
 GUIDE = 2
 #: Words whose hashes, and sets whose identities, a task remembers.
-HELD_WORDS, HELD_SETS = 400_000, 200_000
+HELD_WORDS, HELD_SETS = 250_000, 100_000
 #: Bits of the bitmap that tells which documents' sets are needed, at most (16 MB, at any number of documents).
 BITMAP = 1 << 27
 #: Pairs for each node from which a bucket gives nearest partners only.
@@ -300,6 +302,12 @@ def _packed(width: int, percent: int, buckets: int) -> Callable:
     return run
 
 
+def _steps(numbers: np.ndarray) -> bytes:
+    """Numbers of 16 bits by their steps (modulo 2^16), all low bytes first: of rising ones the high bytes are mostly 0."""
+    steps = np.diff(numbers, prepend=np.uint16(0))
+    return (steps & 255).astype(np.uint8).tobytes() + (steps >> 8).astype(np.uint8).tobytes()
+
+
 def _bucket_of(sig: np.ndarray, buckets: int) -> np.ndarray:
     return (((sig >> U(32)) * U(buckets)) >> U(32)).astype(np.int32)
 
@@ -326,19 +334,19 @@ def _dealt(sig: np.ndarray, of: np.ndarray, base: int, buckets: int) -> Iterator
             hot=[True] * len(groups),
             base=[base] * len(groups),
             sigs=[r.tobytes() for r in rest],
-            of=[of[g].tobytes() for g in groups],
+            of=[_steps(of[g]) for g in groups],
         )
         plain = np.ones(len(sig), bool)
         plain[hot] = False
         sig, of = sig[plain], of[plain]
     bucket = _bucket_of(sig, buckets)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((of, bucket))
     present, at = np.unique(bucket[order], return_index=True)
     ends = np.append(at[1:], len(order))
     sigs, of = sig.astype(np.uint32)[order], of[order]
     for i in range(0, len(present), 512):
         cut = [slice(x, y) for x, y in zip(at[i : i + 512], ends[i : i + 512], strict=True)]
-        parts = {"sigs": [sigs[c].tobytes() for c in cut], "of": [of[c].tobytes() for c in cut]}
+        parts = {"sigs": [sigs[c].tobytes() for c in cut], "of": [_steps(of[c]) for c in cut]}
         yield _batch(_PACKED, len(cut), bucket=present[i : i + 512], hot=[False] * len(cut), base=[base] * len(cut), **parts)
 
 
@@ -355,7 +363,8 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if bucket != now:
                 yield from _members(now, hot, sigs, sets)
                 now, hot, sigs, sets = bucket, set(), [], []
-            handles = np.frombuffer(of, np.uint16).astype(np.int64) + base
+            low, high = np.frombuffer(of, np.uint8).reshape(2, -1)
+            handles = np.cumsum(low + high.astype(np.int64) * 256) % PACKED_SETS + base
             if is_hot:
                 key = int(np.frombuffer(sig, np.uint32)[0])
                 hot.add(key)
@@ -450,17 +459,18 @@ class Texts:
 
 def _needed_sets(width: int, size: int, named, unnamed) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, wanted = Hashes(), np.unpackbits(np.frombuffer(named.value, np.uint8), bitorder="little")
-        by_set = np.unpackbits(np.frombuffer(unnamed.value, np.uint8), bitorder="little") if unnamed else None
+        hashes, wanted = Hashes(), np.frombuffer(named.value, np.uint8)
+        by_set = np.frombuffer(unnamed.value, np.uint8) if unnamed else None
         for b in batches:
             ids = b.column(0)
             valid = ids.is_valid().to_numpy(zero_copy_only=False)
-            ok = (wanted[ids.fill_null(0).to_numpy(zero_copy_only=False) % size] > 0) & valid
+            at = ids.fill_null(0).to_numpy(zero_copy_only=False) % size
+            ok = ((wanted[at >> 3] >> (at & 7)) & 1 > 0) & valid
             at = np.flatnonzero(ok if by_set is None else ok | ~valid)
             for i in range(0, len(at), 1000):
                 few = at[i : i + 1000]
                 sets = [(j, s) for j, t in zip(few, b.column(1).take(pa.array(few)).to_pylist(), strict=True) if len(s := shingle_set(t, width, hashes))]
-                full = [(*identity(s), s.tobytes()) for j, s in sets if valid[j] or by_set[identity(s)[1] % size]]
+                full = [(*identity(s), s.tobytes()) for j, s in sets if valid[j] or by_set[(k := identity(s)[1] % size) >> 3] >> (k & 7) & 1]
                 columns = zip(*full, strict=True) if full else ([], [], [])
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["hi", "lo", "elements"])
 
@@ -631,7 +641,7 @@ def _signed(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = min(1 << 30, max(1, math.ceil(chars * SIGNATURES_PER_CHAR / BUCKET_SIGNATURES)))
     packed = rows.mapInArrow(_packed(width, percent, buckets), _PACKED)
-    sorted_ = packed.repartition("bucket").sortWithinPartitions("bucket", F.desc("hot"))
+    sorted_ = packed.repartition(min(buckets, PARTITIONS), "bucket").sortWithinPartitions("bucket", F.desc("hot"))
     found = staged(sorted_.mapInArrow(_unpacked, _FOUND), "signed", "kind")
     documents = found.where("kind = 'document'")
     firsts = documents.where("hi IS NOT NULL")
