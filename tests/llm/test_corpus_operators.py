@@ -209,6 +209,29 @@ def test_similar_sets_share_a_signature():
             assert set(sig[of == 0]) & set(sig[of == 1]), n
 
 
+@pytest.mark.parametrize("hot", [near_duplicates.HOT, 2])
+def test_packed_signatures_come_back(spark, hot, monkeypatch):
+    # sizes of many schemes in one task, so that the sets' numbers don't rise
+    monkeypatch.setattr(near_duplicates, "HOT", hot)
+    rng = np.random.default_rng(9)
+    sig = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    sig = np.concatenate((sig, sig[:3000], sig[:500], np.repeat(sig[:3], 70)))
+    of = rng.permutation(np.arange(len(sig)) % 60_000).astype(np.uint16)
+    for buckets in (1, 7):
+        packs = list(near_duplicates._dealt(sig, of, 5 << 16, buckets))
+        rows = sorted((r for b in packs for r in b.to_pylist()), key=lambda r: (r["bucket"], not r["hot"]))
+        batch = near_duplicates._batch(near_duplicates._PACKED, len(rows), **{c: [r[c] for r in rows] for c in ("bucket", "hot", "base", "sigs", "of")})
+        got, parts = Counter(), {}
+        for b in near_duplicates._unpacked(iter([batch])):
+            for r in b.to_pylist():
+                parts.setdefault(r["bid"], []).extend(r["members"])
+        got.update(tuple(sorted(m)) for m in parts.values())
+        expected = {}
+        for s, o in zip(sig.tolist(), of.tolist(), strict=True):
+            expected.setdefault(s, []).append((5 << 16) + o)
+        assert got == Counter(tuple(sorted(m)) for m in expected.values() if len(m) > 1)
+
+
 def test_sketch_distance_never_exceeds_the_real_one():
     rng = np.random.default_rng(2)
     for _ in range(200):
