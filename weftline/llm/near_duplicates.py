@@ -80,6 +80,8 @@ BITMAP = 1 << 27
 DENSE = 4
 #: Nodes up to this many are broadcast to pick out their sets (40 bytes each).
 BROADCAST_NODES = 200_000
+#: Ids of documents that leave, up to which they are broadcast (16 bytes each).
+BROADCAST_GONE = 2_000_000
 #: Pairs of one node that are verified in one task.
 GROUP_PAIRS = 512
 #: Pairs compared at a time in a bucket.
@@ -741,9 +743,15 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     """
     member, of_node, names = _components(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width, percent)
     of_node = staged(of_node, "components")
-    keep = _placed(member, of_node).groupBy("doc_id", "component_id").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n"))
+    found = _placed(member, of_node)
+    keep = found.groupBy("doc_id", "component_id").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n"))
     keep = staged(keep.where("doc_id = component_id OR doc_id IS NULL"), "keep")
-    kept = docs.join(keep.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_keep")), F.col(doc_id) == F.col("_keep"), "left_semi")
+    # the ids that leave are fewer than those that stay; broadcast, they spare the texts a shuffle
+    stays = F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")
+    gone = staged(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(stays).where("NOT stays").select(F.col("doc_id").alias("_gone")), "gone")
+    if gone.limit(BROADCAST_GONE + 1).count() <= BROADCAST_GONE:
+        gone = F.broadcast(gone)
+    kept = docs.where(F.col(doc_id).isNotNull()).join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
     named = kept
     if not keep.where("rows > 1 AND n > 0").isEmpty():
         # rows that repeat an id: of equal texts one stays
