@@ -46,12 +46,17 @@ def greedy_quota(candidates: DataFrame, quotas: list[tuple[str, int]]) -> DataFr
     return taken if taken is not None else candidates.limit(0)
 
 
-def shortfall_table(selected: DataFrame, quotas: list[tuple[str, int]]) -> DataFrame:
-    """source, missing: what each source gave less than its quota; only sources that did."""
+def quota_balance(selected: DataFrame, quotas: list[tuple[str, int]]) -> DataFrame:
+    """source, n, missing of all quotas: rows given, and what lacks of the quota; below 0 where a source gave more."""
     want = selected.sparkSession.createDataFrame(quotas, "source string, quota long")
     have = selected.groupBy("source").agg(F.count("*").alias("n"))
-    missing = F.col("quota") - F.coalesce("n", F.lit(0))
-    return F.broadcast(want).join(have, "source", "left").select("source", missing.alias("missing")).where("missing > 0")
+    n = F.coalesce("n", F.lit(0))
+    return F.broadcast(want).join(have, "source", "left").select("source", n.alias("n"), (F.col("quota") - n).alias("missing"))
+
+
+def shortfall_table(selected: DataFrame, quotas: list[tuple[str, int]]) -> DataFrame:
+    """source, missing: what each source gave less than its quota; only sources that did."""
+    return quota_balance(selected, quotas).select("source", "missing").where("missing > 0")
 
 
 def shortfall_gate(selected: DataFrame, quotas: list[tuple[str, int]], allowed: bool = False) -> None:
