@@ -389,3 +389,33 @@ def test_near_representatives_merge_exact_groups(spark, tmp_path):
     spark.createDataFrame([(0, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = {r.doc_id: (r.root, r.quarantine) for r in catalog.queries()["g5_two_phase"](spark, str(tmp_path)).collect()}
     assert got == {0: (0, True), 1: (0, True), 2: (0, True), 3: (0, True), 4: (4, False)}
+
+
+def test_codes_come_round_again_where_asked(spark):
+    names = spark.createDataFrame([("q", f"{i:03}") for i in range(7)] * 2, "question string, candidate string")
+    book = spark.createDataFrame([(0, "A"), (1, "B"), (2, "C")], "position int, code string")
+    got = [r.code for r in sorted(P.tasks(names, book, repeat=True).collect(), key=lambda r: r.candidate)]
+    assert len(got) == 7 and got[:3] == got[3:6] and got[0] == got[6] and len(set(got)) == 3
+
+
+def test_balance_of_quotas_goes_below_zero(spark):
+    df = spark.createDataFrame([("A",)] * 3, "source string")
+    assert {tuple(r) for r in S.quota_balance(df, [("A", 1), ("B", 2)]).collect()} == {("A", 3, -2), ("B", 0, 2)}
+    assert {tuple(r) for r in S.shortfall_table(df, [("A", 1), ("B", 2)]).collect()} == {("B", 2)}
+
+
+def test_queries_equal_their_sql_beyond_codes_and_quotas(spark, tmp_path):
+    import duckdb
+
+    from weftline.plans import catalog, catalog_runs  # noqa: F401
+
+    d = str(tmp_path)
+    spark.range(600).selectExpr("id AS vec_id", "int(id % 2) AS label").write.parquet(f"{d}/embeddings.parquet")
+    langs = "CASE WHEN id < 100003 THEN 'en' WHEN id < 100010 THEN 'de' ELSE 'it' END AS lang"
+    spark.range(100_020).selectExpr("id AS doc_id", langs).write.parquet(f"{d}/documents.parquet")
+    con = duckdb.connect()
+    for name in ("embeddings", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet/*.parquet'")
+    for name in ("m11_task_codes", "w4_shortfalls"):
+        got = sorted(tuple(r) for r in catalog.queries()[name](spark, d).collect())
+        assert got == sorted(con.execute(catalog.oracle_sql()[name]).fetchall()), name

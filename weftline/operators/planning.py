@@ -171,18 +171,20 @@ def codebook(codes: DataFrame, size: int, seed: int) -> DataFrame:
     return picked.agg(all_.alias("a")).select(F.posexplode("a").alias("position", "r")).select("position", "r.code")
 
 
-def tasks(candidates: DataFrame, codes: DataFrame) -> DataFrame:
+def tasks(candidates: DataFrame, codes: DataFrame, repeat: bool = False) -> DataFrame:
     """question, candidate, code: names in code point order, each with the code of its place in the question's own sample.
 
     candidates: question, candidate. The place is the name's rank; the codebook's order is turned by the question's seed.
-    A question with more candidates than there are codes is an error when the result is read.
+    A question with more candidates than there are codes is an error when the result is read; or, with repeat, its codes
+    come round again.
     """
     size = codes.count()
     if size > MAX_CODES:
         raise ValueError("a codebook is broadcast; it can't have so many codes")
-    ranked = candidates.groupBy("question").agg(F.array_sort(F.collect_set("candidate")).alias("c"))
+    place = F.row_number().over(Window.partitionBy("question").orderBy("candidate")) - 1
+    ranked = candidates.where("candidate IS NOT NULL").select("question", "candidate").distinct().withColumn("place", place)
     turned = F.pmod(F.conv(F.substring(F.sha2(F.col("question").cast("string"), 256), 1, 8), 16, 10).cast("long"), F.lit(size))
-    fits = F.assert_true(F.size("c") <= size, "more candidates than codes").isNull()
-    each = ranked.where(fits).select("question", turned.alias("turn"), F.posexplode("c").alias("place", "candidate"))
+    fits = F.lit(True) if repeat else F.assert_true(F.col("place") < size, "more candidates than codes").isNull()
+    each = ranked.where(fits).select("question", turned.alias("turn"), "place", "candidate")
     at = each.withColumn("position", F.pmod(F.col("turn") + F.col("place"), F.lit(size)).cast("int"))
     return at.join(F.broadcast(codes), "position").select("question", "candidate", "code")

@@ -878,9 +878,9 @@ def m15_request_ids(spark, sf_dir):
     "SELECT question, candidate, code FROM r JOIN b ON b.position = (turn + place) % 255"
 )
 def m11_task_codes(spark, sf_dir):
-    """Also A9 and W15."""
+    """Also A9 and W15. A label has more vectors than there are codes: these come round again."""
     e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("question"), F.col("vec_id").cast("string").alias("candidate"))
-    return P.tasks(e, P.codebook(P.letter_codes(spark), 255, SEED))
+    return P.tasks(e, P.codebook(P.letter_codes(spark), 255, SEED), repeat=True)
 
 
 def _jobs_sql() -> str:
