@@ -207,3 +207,18 @@ def test_registered_keys_have_quoted_documents(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = catalog.queries()["f7_exact_keys"](spark, str(tmp_path)).where("kind = 'document'").collect()
     assert {r.conv_id for r in got} == {1, 2} and len({r.key for r in got}) == 1
+
+
+def test_hashed_shingles_stand_for_the_shingles(spark):
+    texts = ["", "abc", "abcd", "abcde", "abcdeabcde", "x\U0001f600\U0001f600yzw\U0001f600\U0001f600yzw", "\u00df \ufb01\u3000A" * 9, "abca", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = df.select("i", T.normal(F.col("t")).alias("n"), F.size(T.shingles(T.normal(F.col("t")))).alias("a"), T.count_normal_shingles(F.col("t")).alias("b"))
+    rows = got.where("t IS NOT NULL").collect()
+    assert [r.a for r in rows] == [r.b for r in rows] == [len({r.n[i : i + 5] for i in range(max(1, len(r.n) - 4))}) for r in rows]
+    assert len({tuple(T.normal_shingles(t)) for t in texts[:4]}) == 4 and got.where("t IS NULL").first().b is None
+
+
+def test_a_normal_form_is_evaluated_once(spark, capsys):
+    found = spark.range(1).select(T.normal(F.concat(F.col("id").cast("string"), F.lit("x"))).alias("n"))
+    found.explain()
+    assert capsys.readouterr().out.split("== Physical Plan ==")[1].count("concat(") == 1
