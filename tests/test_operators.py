@@ -419,3 +419,37 @@ def test_queries_equal_their_sql_beyond_codes_and_quotas(spark, tmp_path):
     for name in ("m11_task_codes", "w4_shortfalls"):
         got = sorted(tuple(r) for r in catalog.queries()[name](spark, d).collect())
         assert got == sorted(con.execute(catalog.oracle_sql()[name]).fetchall()), name
+
+
+def test_join_of_texts_by_blocks_equals_that_of_arrays(spark, monkeypatch):
+    from weftline.functions import text as T
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(5, 60))]
+        texts += [" ".join(words), " ".join(words), " ".join([*words[:-1], "x"])]
+    texts += ["", " ", "ab", "AB", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, t string")
+    plain = df.where("t IS NOT NULL").withColumn("tokens", T.shingles(T.normal(F.col("t"))))
+    expected = {tuple(r) for r in J.threshold_join(plain, 80).collect()}
+    # many blocks and parts
+    for name, value in (("BLOCK_NODES", 4), ("BLOCKS", 1000), ("VERIFIED_ELEMENTS", 300)):
+        monkeypatch.setattr(J, name, value)
+    got = J.threshold_join(df, 80, tokens="t", cut=T.normal_shingles)
+    assert {tuple(r) for r in got.collect()} == expected and len(expected) > 24
+    assert {tuple(r) for r in J.lsh_join(df, 80, tokens="t", cut=T.normal_shingles).collect()} <= expected
+    assert J.threshold_join(df.limit(0), 80, tokens="t", cut=T.normal_shingles).count() == 0
+
+
+def test_sketches_bound_the_distance(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (3, 900, 5000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.append(a[: n // 2], rng.integers(0, 2**63, n // 2).astype(np.uint64)))
+        x, y = (np.frombuffer(J._sketch(s), np.uint64) for s in (a, b))
+        k = min(len(x), len(y))
+        x, y = (np.bitwise_xor.reduce(z.reshape(-1, k), axis=0) for z in (x, y))
+        assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
